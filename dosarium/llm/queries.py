@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, confusables, leakage
+from . import bpe, confusables, history_dedup, leakage
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = history_dedup.dedup_batches(table(spark, sf_dir, "quarantine"))
+    return links.where("batch >= 1").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +53,7 @@ select distinct doc_id, item_id from dg join ig on dg.h = ig.h and dg.g = ig.g
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
         "p7_ids": p7_ids,
