@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, confusables, history_dedup, leakage
+from . import bpe, canonical_list, confusables, history_dedup, leakage, residue
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,37 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.where("batch >= 1").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
 
 
+def p2_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, rec_id, text, residue): every name and template with what its most telling window is."""
+    sources = (("quarantine", "id", "ai_proposed_name", False), ("decisions", "decision_id", "suggested_name", False), ("saved_rules", "id", "naming_template", True))
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("src"), F.col(k).alias("rec_id"), F.col(c).alias("text"), F.lit(m).alias("template")) for t, k, c, m in sources]
+    natural = table(spark, sf_dir, "entities").select(F.col("value").alias("text"))
+    for t in ("quarantine", "decisions"):
+        natural = natural.unionByName(table(spark, sf_dir, t).select(F.col("original_path").alias("text")))
+    return residue.find_residue(parts[0].unionByName(parts[1]).unionByName(parts[2]), natural, "text", "template").drop("template")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_residue(spark, sf_dir).where("residue.kind is not null").select("src", "rec_id").distinct()
+
+
+#: Values that name no type, without regard to case and outer blanks.
+NO_TYPE = ("any", "all", "unknown")
+
+
+def p3_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, rec_id, value, type_id): every typed value with the entry it means; null where it names no type."""
+    typed = table(spark, sf_dir, "extractions").select(F.lit("extractions").alias("src"), F.col("extraction_id").alias("rec_id"), F.col("document_type").alias("value"))
+    typed = typed.unionByName(table(spark, sf_dir, "compiled_rules").select(F.lit("compiled_rules").alias("src"), F.col("rule_id").alias("rec_id"), F.col("category").alias("value")))
+    entries = canonical_list.list_entries(table(spark, sf_dir, "doc_types"), typed, "type_id", "label", ["label_en", "aliases"])
+    return canonical_list.map_values(typed, entries, NO_TYPE).distinct()
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "doc_types").select(F.col("label").alias("value"))  # a fixed list
+    return p3_mapped(spark, sf_dir).where(F.col("type_id").isNotNull()).join(labels, "value", "left_anti").select("src", "rec_id", "type_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         confusables.changed_records(table(spark, sf_dir, src), column, "id").select(F.lit(src).alias("src"), "rec_id")
@@ -54,6 +85,10 @@ select distinct doc_id, item_id from dg join ig on dg.h = ig.h and dg.g = ig.g
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p2_residue": p2_residue,
+        "p3_found": p3_found,
+        "p3_mapped": p3_mapped,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
         "p7_ids": p7_ids,
