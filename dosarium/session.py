@@ -13,6 +13,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Settings that the results depend on or that let Spark re-plan at run time.
 DEFAULTS = {
@@ -63,7 +64,8 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = T.StructType([f for f in df.schema if f.name not in (partition_by or [])] + [df.schema[c] for c in partition_by or []])
+    return spark.read.schema(schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:
