@@ -203,9 +203,10 @@ class History:
     def add_batch(self, batch: DataFrame) -> DataFrame:
         """Take in one batch, as ``read_records`` gives it. Returns (id, first): the accepted record of every
         record of the batch that names a file accepted before it; the others are accepted now."""
-        spark = self.spark
-        firsts = batch.groupBy("canon").agg(F.min_by(F.struct(*[F.col(c) for c in batch.columns if c != "canon"]), "id").alias("r")).select("canon", "r.*")
-        firsts = materialise(firsts, "firsts")
+        return self.add_firsts(materialise(collapse(batch, []), "firsts"), batch)
+
+    def add_firsts(self, firsts: DataFrame, batch: DataFrame) -> DataFrame:
+        """``add_batch`` with the batch's first record of each canonical text already at hand."""
         old, old_keys = self.read("records"), self.read("keys")
 
         # Equal canonical texts have equal keys, so a probe finds them too; the join on the text spares their check.
@@ -231,7 +232,14 @@ class History:
         self.append(firsts.join(links, "id", "left_anti"))
         # A record is linked through the first of its own canonical text, or is that one's copy.
         head = firsts.select(F.col("id").alias("head"), "canon").join(links.withColumnRenamed("id", "head"), "head", "left")
-        return batch.select("id", "canon").join(head, "canon").select("id", F.coalesce("other", "head").alias("first")).where("first < id")
+        found = batch.select("id", "canon").join(head, "canon").select("id", F.coalesce("other", "head").alias("first")).where("first < id")
+        return materialise(found, "found")
+
+
+def collapse(records: DataFrame, by: list[str]) -> DataFrame:
+    """The first record of each canonical text (and each value of ``by``)."""
+    others = [F.col(c) for c in records.columns if c not in ("canon", *by)]
+    return records.groupBy(*by, "canon").agg(F.min_by(F.struct(*others), "id").alias("r")).select(*by, "canon", "r.*")
 
 
 def _led(waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -268,9 +276,11 @@ def dedup_batches(rows: DataFrame, key: str = "id", path: str = "original_path",
     spark = rows.sparkSession
     history = history or History(spark)
     records = materialise(read_records(rows, key, path, name, batch), "records", ["batch"])
+    firsts = materialise(collapse(records, ["batch"]), "firsts", ["batch"])
     numbers = sorted(r[0] for r in records.select("batch").distinct().collect())  # one value a batch
     out = spark.createDataFrame([], "id long, first long, batch int")
     for number in numbers:
-        found = history.add_batch(records.where(F.col("batch") == number).drop("batch"))
+        own = F.col("batch") == number
+        found = history.add_firsts(firsts.where(own).drop("batch"), records.where(own).select("id", "canon"))
         out = out.unionByName(found.withColumn("batch", F.lit(number)))
     return out

@@ -35,7 +35,7 @@ from .confusables import consistent
 ORDER = 4
 KINDS = ("placeholder", "stub", "filler", "notice")
 #: Least log likelihood ratio of a window, by kind.
-LEAST_SCORE = {"placeholder": 5.2, "stub": 5.0, "filler": 8.0, "notice": 8.0}
+LEAST_SCORE = {"placeholder": 5.5, "stub": 5.0, "filler": 8.0, "notice": 8.0}
 #: Least ratio of a placeholder whose brackets or signs bring at least MARKED of it.
 MARKED, LEAST_MARKED = 2.0, 3.5
 #: Least part of a window's ratio that its letters must bring.
