@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, canonical_list, confusables, history_dedup, leakage, residue
+from . import bpe, canonical_list, confusables, history_dedup, leakage, name_variants, residue
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_mapped(spark, sf_dir).where(F.col("type_id").isNotNull()).join(labels, "value", "left_anti").select("src", "rec_id", "type_id")
 
 
+#: Fields of entities that name somebody.
+ORGANISATIONS, PERSONS = ("issuer", "supplier", "employer"), ("full_name", "beneficiary", "contact_person")
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value, kind, root): every spelling with the group it belongs to."""
+    kind = F.when(F.col("field_name").isin(*ORGANISATIONS), "organisation").when(F.col("field_name").isin(*PERSONS), "person")
+    return name_variants.link_spellings(table(spark, sf_dir, "entities").select("value", kind.alias("kind")).where("kind is not null"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.all_pairs(p4_groups(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         confusables.changed_records(table(spark, sf_dir, src), column, "id").select(F.lit(src).alias("src"), "rec_id")
@@ -89,6 +103,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_residue": p2_residue,
         "p3_found": p3_found,
         "p3_mapped": p3_mapped,
+        "p4_found": p4_found,
+        "p4_groups": p4_groups,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
         "p7_ids": p7_ids,
