@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, canonical_list, confusables, history_dedup, leakage, name_variants, residue
+from . import bpe, canonical_list, confusables, history_dedup, leakage, name_variants, residue, spam
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, share, mean_pmi, spam): the coherence of every document."""
+    return spam.incoherent_pages(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_pages(spark, sf_dir).where("spam").select("doc_id")
+
+
 P8_FOUND_SQL = """
 with d as (
   select doc_id, regexp_extract_all(strip_accents(nfc_normalize(lower(text))), '[\\p{L}\\p{N}]+') as w from documents where text is not null
@@ -109,6 +118,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_groups": p5_groups,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
+        "p9_found": p9_found,
+        "p9_pages": p9_pages,
     }
 
 
