@@ -196,7 +196,7 @@ class History:
 
     def append(self, accepted: DataFrame) -> None:
         keys = accepted.select(F.explode(F.array_distinct("buckets")).alias("bucket"), "id").withColumn("part", F.pmod("bucket", F.lit(PARTS)).cast("int"))
-        keys.repartition("part").write.partitionBy("part").parquet(f"{self.path}/keys/batch={self.batches}")
+        keys.repartition("part").sortWithinPartitions("part", "bucket").write.parquet(f"{self.path}/keys/batch={self.batches}")
         accepted.select(*self.schemas["records"].names).write.parquet(f"{self.path}/records/batch={self.batches}")
         self.batches += 1
 
@@ -209,21 +209,17 @@ class History:
         """``add_batch`` with the batch's first record of each canonical text already at hand."""
         old, old_keys = self.read("records"), self.read("keys")
 
-        # Equal canonical texts have equal keys, so a probe finds them too; the join on the text spares their check.
-        exact = firsts.select("id", "canon").join(old.select(F.col("id").alias("other"), "canon"), "canon").select("id", "other")
         waiting = firsts.select("id", F.explode(F.array_distinct("buckets")).alias("bucket")).withColumn("part", F.pmod("bucket", F.lit(PARTS)).cast("int"))
-        probed = waiting.join(old_keys.withColumnRenamed("id", "other"), ["part", "bucket"]).select("id", "other").distinct().join(exact, "id", "left_anti")
+        probed = waiting.join(old_keys.withColumnRenamed("id", "other"), ["part", "bucket"]).select("id", "other")
         known = old.select("id", "path_words", "name_words", "signature")
         own = firsts.select("id", "path_words", "name_words", "signature")
         waiting = waiting.select("id", "bucket")
         pairs, led = _led(waiting)
         found = _verified(probed.unionByName(pairs).distinct(), own, known.unionByName(own))
-        links = materialise(exact.unionByName(found), "links")
+        links = materialise(found, "links")
         # Buckets with more members than one round compares: again, without those compared and those linked.
-        while True:
+        while not waiting.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > LEADERS).isEmpty():
             waiting = led.where(~F.array_contains("lead", F.col("id"))).select("id", "bucket").join(links.select("id").distinct(), "id", "left_anti")
-            if waiting.isEmpty():
-                break
             waiting = materialise(waiting, "waiting")
             pairs, led = _led(waiting)
             links = materialise(links.unionByName(_verified(pairs, own, own)), "links")
@@ -254,11 +250,10 @@ def _led(waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
 def resolve(links: DataFrame) -> DataFrame:
     """Follow (id, other) to records that are not linked themselves."""
     while True:
-        links = materialise(links, "resolved")
         up = links.select(F.col("id").alias("other"), F.col("other").alias("up"))
         if links.join(up, "other", "left_semi").isEmpty():
             return links
-        links = links.join(up, "other", "left").select("id", F.coalesce("up", "other").alias("other"))
+        links = materialise(links.join(up, "other", "left").select("id", F.coalesce("up", "other").alias("other")), "resolved")
 
 
 def read_records(rows: DataFrame, key: str, path: str, name: str, batch: str) -> DataFrame:
