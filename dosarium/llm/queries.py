@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, canonical_list, confusables, history_dedup, leakage, name_variants, residue, spam
+from . import bpe, canonical_list, confusables, history_dedup, leakage, name_variants, residue, scan_repair, spam
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,15 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.lookalike_groups(values, "v")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repair.scan_noise(table(spark, sf_dir, "extract_inputs"))
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(input_id, text): every scanned text as continuous paragraphs."""
+    return scan_repair.repair(table(spark, sf_dir, "extract_inputs"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -116,6 +125,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_groups": p4_groups,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
+        "p6_found": p6_found,
+        "p6_repaired": p6_repaired,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p9_found": p9_found,
