@@ -33,17 +33,17 @@ from pyspark.sql import types as T
 from .confusables import consistent
 
 ORDER = 4
-KINDS = ("placeholder", "stub", "filler", "notice")
+KINDS = ("placeholder", "empty", "stub", "filler", "notice")
 #: Least log likelihood ratio of a window, by kind.
-LEAST_SCORE = {"placeholder": 5.5, "stub": 5.0, "filler": 8.0, "notice": 8.0}
+LEAST_SCORE = {"placeholder": 5.5, "empty": 5.8, "stub": 5.0, "filler": 8.0, "notice": 8.0}
 #: Least ratio of a placeholder whose brackets or signs bring at least MARKED of it.
-MARKED, LEAST_MARKED = 2.0, 3.5
+MARKED, LEAST_MARKED = 2.0, 3.7
 #: Least part of a window's ratio that its letters must bring.
 LEAST_SPOKEN = -0.5
 #: Least likelihood of a character under the natural alternative, which holds words that no model knows, such as invented names.
 UNKNOWN = {"letter": 1 / 20, " ": 1 / 12, "0": 1 / 8, "other": 1 / 200}
 #: Least share of the text's letters that the window covers, by kind; placeholders count wherever they stand.
-LEAST_COVER = {"placeholder": 0.0, "stub": 0.45, "filler": 0.3, "notice": 0.3}
+LEAST_COVER = {"placeholder": 0.0, "empty": 0.0, "stub": 0.45, "filler": 0.3, "notice": 0.3}
 
 # Fields that unfinished templates name.
 FIELDS = """titlu|title|titel|titre|titulo|nume|name|nom|nombre|nachname|vorname|prenume|prenom|autor|author|auteur|beneficiar|beneficiary|client|nume client|client name|clientname|
@@ -152,7 +152,7 @@ def residue_phrases() -> dict[str, list[str]]:
     errors += [f"{c} 000 - {m}" for c, m in itertools.product(CALLS, MESSAGES)] + [f"000 {m}" for m in MESSAGES] * 4 + [f"{m} (000)" for m in MESSAGES] * 4 + MESSAGES * 12 + ERRORS * 6
     asks = [f"{a} {s} {t}" for a, s, t in itertools.product(ASK.split("|"), SCRIPTS.split("|"), THEN.split("|"))]
     asks += [f"{a} {s} {t}" for a, s, t in itertools.product(ASK_RO.split("|"), SCRIPTS_RO.split("|"), THEN_RO.split("|"))]
-    return {"placeholder": wrapped + MARKS * 12 + EMPTY * 40, "stub": STUBS, "filler": lorem + FILLER * 8, "notice": errors + asks + NOTICES * 8}
+    return {"placeholder": wrapped + MARKS * 12, "empty": EMPTY, "stub": STUBS, "filler": lorem + FILLER * 8, "notice": errors + asks + NOTICES * 8}
 
 
 def natural_phrases() -> list[str]:

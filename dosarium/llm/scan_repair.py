@@ -31,7 +31,7 @@ from ..session import materialise
 BREAKS = "-¬‐­‑"
 PAGE_LINE = re.compile(r"[\W_]*(?:(?:pagina|page|seite|página|pag|pg|p|blatt|s)\b\.?)?[\W_]*(\d{1,4})(?:\s*(?:/|of|din|von|de|sur|aus)\s*(\d{1,4}))?[\W_]*", re.I)
 # What is read, and what stands on the page.
-CONFUSIONS = [pair.split(">") for pair in """rn>m m>rn ri>n n>ri ii>u u>ii cl>d d>cl vv>w w>vv li>h h>li lt>k nn>m in>m iu>m ni>m 1>l l>1 1>i i>1 0>o o>0 5>s s>5 8>b b>8 9>g g>9 6>b 6>g 2>z z>2 4>a 3>e 7>t e>c c>e i>l l>i t>f f>t f>r h>b b>h u>n n>u u>v v>u o>c c>o a>o o>a e>o o>e i>j j>i y>v v>y q>g g>q t>l l>t r>n n>r s>a a>s e>a a>e rr>n fi>h fl>h |>l |>i !>l !>i 1>t ă>a â>a î>i ș>s ț>t ä>a ü>u ö>o é>e à>a a>ă i>î s>ș t>ț ț>t ş>ș ţ>ț ü>ii ü>ti ß>b ß>B""".split()]
+CONFUSIONS = [pair.split(">") for pair in """rn>m m>rn ri>n n>ri ii>u u>ii cl>d d>cl vv>w w>vv li>h h>li lt>k nn>m in>m iu>m ni>m 1>l l>1 1>i i>1 0>o o>0 5>s s>5 8>b b>8 9>g g>9 6>b 6>g 2>z z>2 4>a 3>e 7>t e>c c>e i>l l>i t>f f>t f>r h>b b>h u>n n>u u>v v>u o>c c>o a>o o>a e>o o>e i>j j>i y>v v>y q>g g>q t>l l>t r>n n>r s>a a>s e>a a>e rr>n fi>h fl>h |>l |>i !>l !>i 1>t ă>a â>a î>i ș>s ț>t ä>a ü>u ö>o é>e à>a a>ă i>î s>ș t>ț ț>t ş>ș ţ>ț ü>ii ü>ti f>ț f>ș ß>b ß>B""".split()]
 #: A misread word is at least this many times rarer than the word it stands for.
 RARER = 6
 #: Shortest word of letters only that is corrected; shorter ones are other words too often.
