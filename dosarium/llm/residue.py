@@ -93,6 +93,8 @@ pisica pe raft|apus peste lac|tort de ziua mamei|masa de birou|tabla cu formule|
 # Ordinary remarks in brackets.
 BRACKETED = "semnat|duplicat|model b|model a|model c|final|copie|copy|1|2|3|00|scan|original|draft|vechi|nou|urgent|confidential|signed|revizuit|anexa 1|partea 2|ro|en|de|color|alb negru|varianta 2|v2".split("|")
 
+# The tokens of naming templates, which are left over where they stand in a name.
+OWN_TOKENS = ["[An]", "[Luna]", "[TipDocument]", "[Emitent]", "[SubiectAI]", "{original_filename}"]
 #: Tokens that are legitimate in naming templates.
 TEMPLATE_TOKENS = r"\[(?:An|Luna|TipDocument|Emitent|SubiectAI)\]|\{original_filename\}|descriptive_name_based_on_content"
 
@@ -152,7 +154,7 @@ def residue_phrases() -> dict[str, list[str]]:
     errors += [f"{c} 000 - {m}" for c, m in itertools.product(CALLS, MESSAGES)] + [f"000 {m}" for m in MESSAGES] * 4 + [f"{m} (000)" for m in MESSAGES] * 4 + MESSAGES * 12 + ERRORS * 6
     asks = [f"{a} {s} {t}" for a, s, t in itertools.product(ASK.split("|"), SCRIPTS.split("|"), THEN.split("|"))]
     asks += [f"{a} {s} {t}" for a, s, t in itertools.product(ASK_RO.split("|"), SCRIPTS_RO.split("|"), THEN_RO.split("|"))]
-    return {"placeholder": wrapped + MARKS * 12, "empty": EMPTY, "stub": STUBS, "filler": lorem + FILLER * 8, "notice": errors + asks + NOTICES * 8}
+    return {"placeholder": wrapped + MARKS * 12 + OWN_TOKENS * 40, "empty": EMPTY, "stub": STUBS, "filler": lorem + FILLER * 8, "notice": errors + asks + NOTICES * 8}
 
 
 def natural_phrases() -> list[str]:

@@ -34,7 +34,7 @@ from ..session import materialise
 
 STRETCH = 30
 #: Coherence, in nats, below which a stretch counts as incoherent whatever it says: its collocations are the page's only ones.
-LEAST_COHERENCE = 1.2
+LEAST_COHERENCE = 1.45
 #: Coherence below which a stretch counts as incoherent if its words also follow one another by chance: the mean
 #: log likelihood of the next word is below CHANCE. A sentence that a page repeats is coherent in this sense.
 LOW_COHERENCE, CHANCE = 2.5, -2.3
