@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
+
 # Letters of other alphabets and the Latin letters they look like.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜаеѕіјорсухһԁԛԝүгвкмнт", "ABESIJKMHOPCTYXYQWaesijopcyxhdqwyrBKMHT"))
 CYRILLIC_STRICT = dict(zip("АВЕЅІЈКМНОРСТХҮԚԜаеѕіјорсухһԁԛԝү", "ABESIJKMHOPCTXYQWaesijopcyxhdqwy"))
@@ -121,7 +123,7 @@ def lookalike_groups(values: DataFrame, column: str) -> DataFrame:
     to have the group's skeleton. Nulls are left out.
     """
     distinct = values.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
-    read = distinct.withColumn("f", _forms("value")).select("value", "f.skeleton", "f.form")
+    read = materialise(distinct.withColumn("f", _forms("value")).select("value", "f.skeleton", "f.form"), "forms")  # once, though read twice
     groups = read.groupBy(F.xxhash64("skeleton").alias("h"), "skeleton").agg(F.count("*").alias("originals")).select("skeleton", "originals")
     return read.join(groups, "skeleton").select("value", "skeleton", "form", (F.col("form") != F.col("value")).alias("changed"), "originals")
 
