@@ -50,7 +50,9 @@ _ADD = _RNG.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 COPY_BEFORE = r"^(?:copie (?:a|la|de)|copy of|copia (?:de|lui)|kopie von|copie)[\s_\-]+"
 COPY_AFTER = r"[\s_\-]*(?:\(\d{1,2}\)|[\s_\-](?:copie|copy|copia|kopie|dup|duplicat|duplicate)(?:[\s_\-]*\(?\d{1,2}\)?)?)$"
 # Words that carry nothing of their own in a name.
-SMALL_WORDS = frozenset("de la pe cu cu din si in the of nr no".split())
+SMALL_WORDS = frozenset("a de la pe cu din si in the of nr no".split())
+# Words that mark a copy; with a slip in them they stay in a name.
+COPY_WORDS = ("copie", "copy", "copia", "kopie", "duplicat")
 
 RECORD = T.StructType(
     [
@@ -134,6 +136,11 @@ def one_slip(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
+def _close(a: str, b: str) -> bool:
+    """One slip apart, letters typed twice aside."""
+    return min(len(a), len(b)) >= 3 and (one_slip(a, b) or one_slip(re.sub(r"(.)\1+", r"\1", a), re.sub(r"(.)\1+", r"\1", b)))
+
+
 def _shortened(short: str, long: str) -> bool:
     """``short`` begins ``long``, or keeps its first letter and some others in order without its vowels."""
     if len(short) >= len(long) or short[:1] != long[:1]:
@@ -147,20 +154,20 @@ def _shortened(short: str, long: str) -> bool:
 
 
 def same_words(a: list[str], b: list[str]) -> bool:
-    """The words agree one to one, in any order, with slips and shortenings; small words may be missing."""
+    """The words agree one to one, in any order, with slips and shortenings; small words and words that mark a copy may be missing."""
     left, right = list(a), list(b)
     for w in a:
         if w in right:
             right.remove(w)
             left.remove(w)
     for w in list(left):
-        for close in (lambda x: min(len(w), len(x)) >= 3 and one_slip(w, x), lambda x: _shortened(w, x) or _shortened(x, w)):
+        for close in (lambda x: _close(w, x), lambda x: _shortened(w, x) or _shortened(x, w)):
             found = next((x for x in right if close(x)), None)
             if found is not None:
                 right.remove(found)
                 left.remove(w)
                 break
-    return all(w in SMALL_WORDS for w in left + right)
+    return all(w in SMALL_WORDS or len(w) > 3 and any(one_slip(w, c) for c in COPY_WORDS) for w in left + right)
 
 
 @F.pandas_udf(T.BooleanType())
