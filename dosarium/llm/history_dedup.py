@@ -137,8 +137,8 @@ def one_slip(a: str, b: str) -> bool:
 
 
 def _close(a: str, b: str) -> bool:
-    """One slip apart, letters typed twice aside."""
-    return min(len(a), len(b)) >= 3 and (one_slip(a, b) or one_slip(re.sub(r"(.)\1+", r"\1", a), re.sub(r"(.)\1+", r"\1", b)))
+    """One slip apart, or equal but for letters typed twice."""
+    return min(len(a), len(b)) >= 3 and (one_slip(a, b) or re.sub(r"(.)\1+", r"\1", a) == re.sub(r"(.)\1+", r"\1", b))
 
 
 def _shortened(short: str, long: str) -> bool:
