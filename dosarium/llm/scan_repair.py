@@ -38,7 +38,9 @@ RARER = 6
 SHORTEST = 4
 #: Slips allowed between repeats of a running line, for each of its characters.
 LINE_SLIPS = 0.12
-_VALUE = 1 << 40
+_VALUE = 1 << 36
+#: Longer lines are no running lines and no page numbers.
+LONGEST_EDGE = 300
 
 LINE = T.StructType(
     [
@@ -72,7 +74,7 @@ def page_numbers(lines: list[str], pages: int) -> set[int]:
     """Positions of lines that give only their page's number. One way of writing is chosen: the one that counts furthest."""
     styles: dict[str, list[tuple[int, int]]] = {}
     for i, line in enumerate(lines):
-        m = PAGE_LINE.fullmatch(line.strip())
+        m = PAGE_LINE.fullmatch(line.strip()) if len(line) <= LONGEST_EDGE else None
         if m and int(m[1]) <= pages and int(m[1]) > 0 and (m[2] is None or int(m[2]) == pages):
             styles.setdefault(re.sub(r"\d+", "9", line.strip().lower()), []).append((i, int(m[1])))
     best: list[int] = []
@@ -98,7 +100,7 @@ def running_lines(lines: list[str], pages: int, taken: set[int]) -> set[int]:
     order = sorted(plain)
     out: set[int] = set()
     for i in {order[0], order[-1]} if order else ():
-        if i in out or len(plain[i]) < 4:
+        if i in out or not 4 <= len(plain[i]) <= LONGEST_EDGE:
             continue
         most = max(1, min(4, int(LINE_SLIPS * len(plain[i]))))
         numbers = re.findall(r"\d+", lines[i])
@@ -123,7 +125,7 @@ def read_lines(text: str, pages: int) -> list[tuple[int, str, str, str | None, s
         place = "page_number" if i in numbers else "header" if i in running else "body" if line.strip() else "blank"
         head = tail = None
         if place == "body" and i in following:
-            a = re.search(rf"([^\W\d_]+)[{BREAKS}]\s*$", line)
+            a = re.search(rf"([^\W\d_]{{1,100}})[{BREAKS}]\s{{0,9}}$", line)
             b = re.match(r"\s*([^\W\d_]+)", lines[following[i]])
             if a and b and b[1][0].islower():
                 head, tail = a[1], b[1]
@@ -157,7 +159,7 @@ def anagram_hash(word: Column) -> Column:
 
 def _unbroken() -> Column:
     """A line without the parts of broken words at its ends."""
-    ended = F.when(F.col("head").isNotNull(), F.regexp_replace("line", rf"[\p{{L}}]+[{BREAKS}]\s*$", "")).otherwise(F.col("line"))
+    ended = F.when(F.col("head").isNotNull(), F.regexp_replace("line", rf"[\p{{L}}]{{1,100}}[{BREAKS}]\s{{0,9}}$", "")).otherwise(F.col("line"))
     return F.when(F.col("goes_on"), F.regexp_replace(ended, r"^\s*[\p{L}]+", "")).otherwise(ended)
 
 

@@ -44,7 +44,7 @@ LEAST_WORDS = 10
 #: Weight of the corpus against the document's own word counts, in words.
 SMOOTHING = 20
 
-_LINK = re.compile(r"\[[^\]\n]*\]\(https?\S+|(?:[^\W\d_]+[ \w]{0,40}: )?https?://\S+|www\.\S+")
+_LINK = re.compile(r"\[[^\]\n]{0,200}\]\(https?\S+|(?:\b[^\W\d_]{1,40}[ \w]{0,40}: )?https?://\S+|www\.\S+")
 _TAG = re.compile(r"#\w+")
 _CODE = re.compile(r"\b[a-z]\d+\b")
 _WORD = re.compile(r"§[uhc]|[^\W\d_]+|\d[\d.,/-]*")

@@ -165,6 +165,15 @@ def test_common_suffix_and_hot_group_against_brute_force(spark):
     assert groups(spark, [("person", v) for v in names]) == {frozenset(g) for g in expect.values()}
 
 
+def test_long_values(spark):
+    long = "Abcdefghij" * 5_000
+    assert groups(spark, [("person", v) for v in (f"Ulrich {long}", f"Ulrich {long[:777]}x{long[778:]}", f"Bogdan {long}", "y" * 100_000)]) == {frozenset([f"Ulrich {long}", f"Ulrich {long[:777]}x{long[778:]}"]), frozenset([f"Bogdan {long}"]), frozenset(["y" * 100_000])}
+    wide = spark.createDataFrame([(1, "\n".join(["x" * 100_000, "_" * 100_000, " " * 50_000, "x" * 100_000 + "-"]), 2)], "input_id long, document_text string, n_pages int")
+    assert scan_repair.scan_noise(wide).where("kind != 'hyphen'").isEmpty()
+    odd = spark.createDataFrame([(1, "x" * 200_000), (2, "[" * 50_000), (3, "a b " * 50_000)], "doc_id long, text string")
+    assert spam.incoherent_pages(odd).count() == 1
+
+
 def test_common_subsequence():
     def brute(a, b):
         return max((k for k in range(len(a) + 1) for s in itertools.combinations(a, k) if re.search(".*".join(map(re.escape, s)), b)), default=0)
