@@ -23,7 +23,7 @@ SUMMARY_CUT, REASON_CUT, MOST_SUMMARY = 200, 100, 500
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")  # a run is tried from its start only
 
 
 def strip_sql(c: str) -> str:
