@@ -173,7 +173,7 @@ def vocabulary(lines: DataFrame) -> DataFrame:
     """(word, n): lower-case words of the body, hyphenated ones whole and in parts, broken ones not."""
     body = lines.where("place = 'body'").select(F.lower(_unbroken()).alias("line"))
     single = body.select(F.explode(F.regexp_extract_all("line", F.lit(r"[\p{L}\p{N}|]+"), F.lit(0))).alias("word"))
-    double = body.select(F.explode(F.regexp_extract_all("line", F.lit(r"\p{L}+-\p{L}+"), F.lit(0))).alias("word"))
+    double = body.select(F.explode(F.regexp_extract_all("line", F.lit(r"(?<!\p{L})\p{L}{1,60}+-\p{L}{1,60}"), F.lit(0))).alias("word"))
     return single.unionByName(double).groupBy("word").agg(F.count("*").alias("n"))
 
 
