@@ -1,8 +1,8 @@
 """Repair of text from scanned pages: edge lines, broken words, misread characters.
 
 Edge lines are found in each document by itself: lines that are alike, with
-slips, as often as there are pages and begin or end the text; and lines that
-give nothing but the numbers of the pages in order. Words broken at a line's
+slips, about once a page, or two of them by turns, and stand beside page breaks;
+and lines that give nothing but the numbers of the pages in order. Words broken at a line's
 end are joined where the corpus knows the joined word better than the
 hyphenated one. Misread words are found in SQL: every word has an anagram hash,
 the sum of its characters' values, so a confusion of characters shifts it by a
@@ -18,8 +18,10 @@ extra columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,22 +94,112 @@ def page_numbers(lines: list[str], pages: int) -> set[int]:
     return set(best)
 
 
+def _alike_groups(plain: dict[int, str], lines: list[str], pages: int) -> list[list[int]]:
+    """Positions of lines that are alike, with slips, in groups of two and more. Numbers stay, but for that of the page, which counts up:
+    in sentences and headings that come again they differ."""
+    texts: dict[tuple[str, tuple[str, ...]], list[int]] = {}
+    for i, text in plain.items():
+        if 4 <= len(text) <= LONGEST_EDGE:
+            texts.setdefault((text, tuple(re.findall(r"\d+", lines[i]))), []).append(i)
+    keys = sorted(texts, key=lambda k: len(k[0]))
+    sizes = np.array([len(k[0]) for k in keys])
+    counts = np.zeros((len(keys), 32), dtype=np.int16)
+    for r, (text, _) in enumerate(keys):
+        counts[r] = np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) % 32, minlength=32)
+    parent = list(range(len(keys)))
+
+    def root(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    for r, (text, numbers) in enumerate(keys):
+        most = max(1, min(4, int(LINE_SLIPS * len(text))))
+        end = int(np.searchsorted(sizes, len(text) + most, side="right"))
+        # A slip changes the counts of at most two characters, so lines further apart in these need no comparison.
+        for q in r + 1 + np.flatnonzero(np.abs(counts[r + 1 : end] - counts[r]).sum(axis=1) <= 2 * most):
+            other, theirs = keys[q]
+            if root(r) != root(q) and all(x == y or max(int(x), int(y)) <= pages for x, y in zip(numbers, theirs)) and alike(text, other, most):
+                parent[root(int(q))] = root(r)
+    groups: dict[int, list[int]] = {}
+    for r, key in enumerate(keys):
+        groups.setdefault(root(r), []).extend(texts[key])
+    return sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+def _counts_up(group: list[int], lines: list[str], pages: int) -> bool:
+    """Numbers that differ within the group grow from line to line, as those of pages do. A number with a slip in it is passed over."""
+    read = [[int(x) for x in re.findall(r"\d+", lines[i])] for i in group]
+    usual = Counter(map(len, read)).most_common(1)[0][0]
+    for column in zip(*(r for r in read if len(r) == usual)):
+        if len(set(column)) > 1 and any(x >= y for x, y in zip(column, column[1:])):
+            return False
+    return True
+
+
+def _page_edges(order: list[int], length: int, pages: int, taken: set[int]) -> list[set[int]]:
+    """Sets of positions, any one of which may be those beside page breaks: beside the page numbers, or at even distances."""
+    if len(taken) >= max(2, pages - 1):
+        whole = sorted({*order, *taken})
+        at = [k for k, i in enumerate(whole) if i in taken]
+        return [{whole[j] for k in [*at, -1, len(whole)] for j in range(k - 2, k + 3) if 0 <= j < len(whole)}]
+    out = []
+    # All pages but the last are of one height.
+    for height in range(max(3, -(-length // pages)), max(3, (length - 1) // (pages - 1)) + 1):
+        near = {k * height + d for k in range(pages + 1) for d in (-2, -1, 0, 1)} | {length - 1, length - 2}
+        out.append({i for i in order if i in near})
+    return out
+
+
 def running_lines(lines: list[str], pages: int, taken: set[int]) -> set[int]:
-    """Positions of running headers and footers: lines alike, about once a page, of which one begins or ends the text."""
+    """Positions of running headers and footers: lines alike about once a page, or two by turns, that stand where pages begin or end.
+
+    As many repeats as pages are enough if one begins or ends the text. All others,
+    also those missing or unreadable on a page, must stand beside page breaks.
+    """
     if pages < 2:
         return set()
     plain = {i: re.sub(r"\s+", " ", re.sub(r"\d+", "9", line)).strip().lower() for i, line in enumerate(lines) if line.strip() and i not in taken}
     order = sorted(plain)
+    if not order:
+        return set()
+    groups = _alike_groups(plain, lines, pages)
+    ends = {order[0], order[-1]}
     out: set[int] = set()
-    for i in {order[0], order[-1]} if order else ():
-        if i in out or not 4 <= len(plain[i]) <= LONGEST_EDGE:
-            continue
-        most = max(1, min(4, int(LINE_SLIPS * len(plain[i]))))
-        numbers = re.findall(r"\d+", lines[i])
-        # Numbers stay, but for that of the page: in sentences that come again they differ.
-        same = [j for j in order if alike(plain[i], plain[j], most) and all(x == y or max(int(x), int(y)) <= pages for x, y in zip(numbers, re.findall(r"\d+", lines[j])))]
-        if len(same) == pages:
-            out |= set(same)
+    for group in groups:
+        if len(group) == pages and ends & set(group):
+            out |= set(group)
+    length = len(lines)
+    while length and not lines[length - 1].strip():
+        length -= 1
+    rank = {i: k for k, i in enumerate(order)}
+    edges = _page_edges(order, length, pages, taken)
+    rest = [g for g in groups if not out & set(g) and len(g) <= pages and _counts_up(g, lines, pages)]
+    best: list[int] = []
+    for near in edges:
+        fit = [g for g in rest if set(g) <= near]
+        for g in fit:
+            # Two pages leave no distance to measure: the lines touch at the break. Of three pages, two are enough at the text's edge,
+            # unless the line goes on with a sentence.
+            enough = rank[g[1]] - rank[g[0]] == 1 if pages == 2 else len(g) == pages or len(g) == pages - 1 and not lines[g[0]].strip()[0].islower() and (pages > 3 or ends & set(g))
+            if enough and len(g) > len(best):
+                best = g
+        for k, a in enumerate(fit):
+            for b in fit[k + 1 :]:
+                both = sorted([*a, *b])
+                turns = sum((x in a) != (y in a) for x, y in zip(both, both[1:]))
+                # One page's line may be missing, so one turn may be too.
+                if pages >= 4 and pages - 1 <= len(both) <= pages and abs(len(a) - len(b)) <= 1 and turns >= len(both) - 1 - (len(both) < pages) and len(both) > len(best):
+                    best = both
+    out |= set(best)
+    # A line too smudged to be alike stands where a page of its own has none.
+    if 2 < len(out) < pages:
+        for near in edges:
+            if out <= near:
+                left = [i for i in sorted(near - out) if 4 <= len(plain.get(i, "")) <= LONGEST_EDGE and any(alike(plain[i], plain[j], len(plain[j]) * 3 // 10) for j in out)]
+                if left:
+                    out.add(left[0])
+                    break
     return out
 
 

@@ -228,6 +228,34 @@ def test_scan_noise(spark):
     assert scan_repair.scan_noise(df.limit(0)).isEmpty()
 
 
+def test_running_lines_that_turn_miss_a_page_or_stand_inside():
+    def text(heads, top=True, numbers=False, height=12):
+        rnd, lines = random.Random(3), []
+        for k, head in enumerate(heads, 1):
+            page = [" ".join(rnd.choices(["livrarea", "suma", "avizul", "termenul", "bugetul", "raportul", "semnat", "ieri"], k=6)) for _ in range(height)]
+            at_top = top if k > 1 else not top
+            lines += ([head] if at_top and head else []) + page + ([head] if not at_top and head else []) + ([f"~ {k} ~"] if numbers else [])
+        return "\n".join(lines)
+
+    def heads(t, pages):
+        lines = t.split("\n")
+        return {lines[i - 1] for i, place, *_ in scan_repair.read_lines(t, pages) if place == "header"}
+
+    for numbers in (False, True):
+        assert heads(text(["Arhiva Nord, 2026"] * 4, numbers=numbers), 4) == {"Arhiva Nord, 2026"}
+        turning = ["Zorvelia | confidențial", "REGISTRUL", "Zorvelia | confidențial", "REGlSTRUL", "Zorvelia | confidențial", "REGISTRUL"]
+        assert heads(text(turning, numbers=numbers), 6) == set(turning)
+    missing = text(["NOTA INTERNĂ"] * 2 + [""] + ["NOTA INTERNĂ"] * 2, numbers=True)
+    assert heads(missing, 5) == {"NOTA INTERNĂ"}
+    smudged = text(["Arhiva Nord, 2026"] * 3 + ["Arniwa Nerd, 2026"] + ["Arhiva Nord, 2026"], numbers=True)
+    assert heads(smudged, 5) == {"Arhiva Nord, 2026", "Arniwa Nerd, 2026"}
+    # Headings with numbers of their own, and sums that come again inside pages, belong to the content.
+    inside = text([""] * 4, numbers=True).split("\n")
+    for k, at in enumerate((5, 20, 31, 46)):
+        inside[at] = "Total: 4"
+    assert heads("\n".join(inside), 4) == set()
+
+
 def test_anagram_hash(spark):
     df = spark.createDataFrame([("anna",), ("nana",), ("hello",), ("he11o",), ("",), ("x" * 100_000,)], "w string").select("w", scan_repair.anagram_hash(F.col("w")).alias("h"), scan_repair.anagram_hash(F.lit("l")).alias("l"), scan_repair.anagram_hash(F.lit("1")).alias("one"))
     h = {r["w"]: r for r in df.collect()}
