@@ -1,8 +1,8 @@
 """Linking the spellings of one person or organisation.
 
 Each distinct spelling is read into its words, its initials and shortenings.
-Blocks are suffixes of words of a minimum length; suffixes that are common are
-refined by the beginning or the end of the other word before pairs are made.
+Blocks are suffixes of words of a minimum length; names with a common word meet
+by their other words less one letter instead.
 Pairs are compared word by word by the ratio of their longest common
 subsequence. Spellings that give the whole name are joined into names; short
 forms (initials, shortened words, pet names, a first word alone) go to the only
@@ -29,7 +29,7 @@ from .confusables import consistent
 LEAST_SUFFIX = 4
 #: Words and names longer than this are keyed by their first and last END letters, one of which a slip leaves as it is.
 LONG, END = 100, 50
-#: Spellings that share a key up to which all their pairs are compared; larger groups are refined.
+#: Spellings that share a key up to which all their pairs are compared; those of larger groups meet one letter apart.
 COMMON = 60
 
 # Forms of address and titles.
@@ -179,41 +179,33 @@ def stands_for_udf(words: pd.Series, hints: pd.Series, form: pd.Series, full: pd
 
 
 def suffix_keys(names: DataFrame) -> DataFrame:
-    """(kind, id, key, fine): every suffix of every word as ``key``; ``fine`` refines it by the start and by the end
-    of the rest of the name, one of which a slip leaves as it is."""
-    word = names.select("kind", "id", F.posexplode("words").alias("at", "word"), "words")
-    rest = F.concat_ws("", F.array_sort(F.filter("words", lambda x, i: i != F.col("at"))))
+    """(kind, id, key, whole): every suffix of every word as ``key``; ``whole`` tells that it is the word itself."""
+    word = names.select("kind", "id", F.explode("words").alias("word"))
     size = F.length("word")
     suffix = F.explode(F.when(size > LONG, _ends("word")).when(size >= LEAST_SUFFIX, F.transform(F.sequence(F.lit(1), size - LEAST_SUFFIX + 1), lambda i: F.substring(F.col("word"), i, size))).otherwise(F.array("word")))
-    keyed = word.select("kind", "id", "word", rest.alias("rest"), suffix.alias("key"))
-    ends = F.explode(F.array(F.concat(F.lit("<"), F.substring("rest", 1, 3)), F.concat(F.lit(">"), F.reverse(F.substring(F.reverse("rest"), 1, 3)))))
-    return keyed.select("kind", "id", "key", ((F.col("word") == F.col("key")) | (F.length("word") > LONG)).alias("whole"), ends.alias("end"))
+    keyed = word.select("kind", "id", "word", suffix.alias("key"))
+    return keyed.select("kind", "id", "key", ((F.col("word") == F.col("key")) | (F.length("word") > LONG)).alias("whole")).distinct()
 
 
 def candidate_pairs(names: DataFrame) -> DataFrame:
-    """(a, b): pairs of ids, a < b, that share a suffix which is not common, or a common one and an end of the rest.
+    """(a, b): pairs of ids, a < b, that share a suffix which is not common, or a common word and the others but for one letter.
 
     A slip changes one word, so two spellings of a whole name share a whole word,
-    the longest suffix, and one end of the other word. In groups which are large
-    even so, spellings meet that differ by one letter.
+    the longest suffix. Where that is common, all words but one are a key together
+    with that one less a letter, whatever the order of the words.
     """
     keys = suffix_keys(names)
-    plain = keys.select("kind", "id", "key", "whole").distinct()
-    sizes = plain.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
-    small = plain.join(sizes.where(F.col("n") <= COMMON), ["kind", "key"]).select(F.xxhash64("kind", "key").alias("group"), "id")
-    # Common suffixes are discarded only once refined; the whole word keeps every pair that a shorter suffix would give.
-    fine = keys.where("whole").join(sizes.where(F.col("n") > COMMON).select("kind", "key"), ["kind", "key"]).select(F.xxhash64("kind", "key", "end").alias("group"), "id")
-    groups = materialise(small.unionByName(fine).distinct(), "groups")
-    counts = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    sized = groups.join(counts, "group")
-    left = sized.where(F.col("n") <= COMMON).select("group", "id")
+    sizes = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
+    left = materialise(keys.join(sizes.where(F.col("n") <= COMMON), ["kind", "key"]).select(F.xxhash64("kind", "key").alias("group"), "id").distinct(), "groups")
     pairs = left.select("group", F.col("id").alias("a")).join(left.select("group", F.col("id").alias("b")), "group").where("a < b").select("a", "b")
-    # What is common even then: spellings one slip apart are equal once the right letter is taken from one or both.
-    # Such a key is shared by no more spellings than there are letters to put in its place.
-    large = sized.where(F.col("n") > COMMON).select("id").distinct().join(names.select("id", "kind", "words"), "id")
-    turned = F.explode(F.array_distinct(F.array(F.concat_ws(" ", "words"), F.concat_ws(" ", F.reverse("words")))))
-    text = large.select("id", "kind", turned.alias("text"))
-    less = text.select("id", F.explode(_less(F.col("text"))).alias("t"), "kind").select("id", F.xxhash64("kind", "t").alias("group")).distinct()
+    # Common suffixes are discarded; the whole word keeps every pair that a shorter suffix would give. Words one slip apart are
+    # equal once the right letter is taken from one or both, so such a key is shared by no more names than there are letters to put in its place.
+    large = keys.where("whole").join(sizes.where(F.col("n") > COMMON).select("kind", "key"), ["kind", "key"]).select("id").distinct().join(names.select("id", "kind", "words"), "id")
+    value = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 36))
+    total = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + value(w))
+    word = large.select("id", "kind", total.alias("total"), F.explode(F.array_distinct("words")).alias("word"))
+    less = word.select("id", "kind", (F.col("total") - value(F.col("word"))).alias("rest"), F.explode(_less(F.col("word"))).alias("t"))
+    less = materialise(less.select("id", F.xxhash64("kind", "rest", "t").alias("group")).distinct(), "groups")
     met = less.select("group", F.col("id").alias("a")).join(less.select("group", F.col("id").alias("b")), "group").where("a < b").select("a", "b")
     return pairs.unionByName(met).distinct()
 

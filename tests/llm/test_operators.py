@@ -165,6 +165,18 @@ def test_common_suffix_and_hot_group_against_brute_force(spark):
     assert groups(spark, [("person", v) for v in names]) == {frozenset(g) for g in expect.values()}
 
 
+def test_slips_beside_a_common_word(spark):
+    rnd = random.Random(8)
+    # Many names share the word, also its ends with the slips, so that no block is small.
+    crowd = {"".join(rnd.choice(p) for p in ("bcdfgjklp", "aeiou", "rstvz", "aeiou", "bdgmn")) for _ in range(400)}
+    names = [f"{w.capitalize()} Popescu" for w in sorted(crowd)][:120]
+    near = [("Marfa Popescu", "Mafa Popescu"), ("Qwxyh Popescu", "Qwyh Popescu"), ("Wolfyz Popescu", "Popescu Woflyz"), ("Popescu Xanq Hwxyq", "Xanq Hwxyq Popescu"), ("Popescu Jyyq Vwxyqw", "Jyyq Popescu Vwyqw")]
+    names += [v for pair in near for v in pair]
+    got = groups(spark, [("person", v) for v in names])
+    for a, b in near:
+        assert any({a, b} <= g for g in got), (a, b)
+
+
 def test_long_values(spark):
     long = "Abcdefghij" * 5_000
     assert groups(spark, [("person", v) for v in (f"Ulrich {long}", f"Ulrich {long[:777]}x{long[778:]}", f"Bogdan {long}", "y" * 100_000)]) == {frozenset([f"Ulrich {long}", f"Ulrich {long[:777]}x{long[778:]}"]), frozenset([f"Bogdan {long}"]), frozenset(["y" * 100_000])}
