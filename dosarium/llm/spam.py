@@ -10,10 +10,11 @@ coherence; a document is flagged by the share of its characters that stand in
 incoherent stretches.
 
 Links, hash tags, product codes and numbers each count as one word. Lines of
-numbered or dashed lists are ordinary lists and count as coherent.
+numbered or dashed lists count as coherent, unless they hold links, tags or
+repeated keywords; these are read without their markers like any other text.
 
 Defined results: null, empty and very short texts (fewer than ``LEAST_WORDS``
-words outside lists) are never flagged; long texts are read whole; a repeated
+words outside ordinary lists) are never flagged; long texts are read whole; a repeated
 id gives one row for each of its texts' chunks together, so ids must be unique;
 an empty table gives no rows; extra columns are not read.
 """
@@ -49,22 +50,39 @@ _TAG = re.compile(r"#\w+")
 _CODE = re.compile(r"\b[a-z]\d+\b")
 _WORD = re.compile(r"§[uhc]|[^\W\d_]+|\d[\d.,/-]*")
 _LIST = re.compile(r"\s*(?:\d+(?:\.\d+)*[.)]?|[-*•>|])\s")
+_MARKERS = re.compile(rf"(?:{_LIST.pattern})+")
+#: A word that stands so often in a text's list lines is a keyword there; so much of a line must be keywords.
+OFTEN, MOST_KEYWORDS = 3, 0.8
+
+
+def _read(line: str) -> list[str]:
+    """Words of a line; links, tags, codes and numbers as signs."""
+    plain = _CODE.sub(" §c ", _TAG.sub(" §h ", _LINK.sub(" §u ", line.lower())))
+    return ["§n" if w[0].isdigit() else w for w in _WORD.findall(plain)]
+
+
+def _no_list(words: list[str], often: Counter) -> bool:
+    """What a list line holds is links and tags, or keywords that the list lines repeat. Lines with numbers, as of invoices and contents, are ordinary."""
+    signs = sum(w in ("§u", "§h", "§c") for w in words)
+    if 2 * signs > len(words):
+        return True
+    return bool(words) and "§n" not in words and sum(often[w] >= OFTEN for w in words) >= MOST_KEYWORDS * len(words)
 
 
 def stretches(text: str) -> list[tuple[list[str], int]]:
-    """(words, characters) of each stretch in order; list lines have no words. Neighbouring stretches of a line share a word,
+    """(words, characters) of each stretch in order; ordinary list lines have no words. Neighbouring stretches of a line share a word,
     so that every pair of neighbours is in one of them."""
     out: list[tuple[list[str], int]] = []
     held: list[str] = []
     size = 0
-    for line in text.split("\n"):
-        if not line.strip():
-            continue
-        if _LIST.match(line):
+    lines = [line for line in text.split("\n") if line.strip()]
+    listed = {i: _read(line[m.end() :]) for i, line in enumerate(lines) if (m := _MARKERS.match(line))}
+    often = Counter(w for words in listed.values() for w in words)
+    for i, line in enumerate(lines):
+        if i in listed and not _no_list(listed[i], often):
             out.append(([], len(line)))
             continue
-        plain = _CODE.sub(" §c ", _TAG.sub(" §h ", _LINK.sub(" §u ", line.lower())))
-        words = ["§n" if w[0].isdigit() else w for w in _WORD.findall(plain)]
+        words = listed[i] if i in listed else _read(line)
         if len(words) >= 10:
             if held:
                 out.append((held, size))

@@ -357,6 +357,18 @@ def test_incoherent_pages(spark):
     assert spam.incoherent_pages(df.limit(0)).isEmpty()
 
 
+def test_spam_in_the_shape_of_lists(spark):
+    rnd = random.Random(6)
+    nouns, verbs = ["raportul", "dosarul", "avizul", "planul"], ["se păstrează în arhivă", "a fost înregistrat ieri", "necesită o nouă verificare"]
+    prose = [" ".join(f"{rnd.choice(nouns).capitalize()} {rnd.choice(verbs)} până luni." for _ in range(8)) for _ in range(60)]
+    keys = ["toner ieftin", "dosare", "scanare", "formulare online", "notar", "copii xerox"]
+    bad = ["\n".join(f"- https://x{i}.test/a" for i in range(40)), "\n".join(f"{i}. [Link {i}](http://x{i}.test)" for i in range(40)), "\n".join("* " + " ".join(rnd.choices(keys, k=3)) for _ in range(40)), "\n".join("| " + " | ".join(rnd.choices(keys, k=5)) + " |" for _ in range(20)), "• #a #b #c\n" * 20]
+    good = ["\n".join(f"- {a} {b}" for a, b in zip("abcdefghij" * 2, (f"nume{'xyzw'[i % 4] * (i + 1)}" for i in range(20)))), "\n".join(f"{i}. toner x {i} = {i}00,50" for i in range(1, 40)), "\n".join(f"{i}. Capitolul despre arhive {i * 3}" for i in range(1, 30)), "\n".join(f"- {p.split('.')[0]}" for p in prose[:20])]
+    rows = [(i, t) for i, t in enumerate(prose)] + [(1000 + i, t) for i, t in enumerate(bad)] + [(2000 + i, t) for i, t in enumerate(good)]
+    got = spam.incoherent_pages(spark.createDataFrame(rows, "doc_id long, text string")).where("spam")
+    assert {r["doc_id"] for r in got.collect()} == {1000, 1001, 1002, 1003, 1004}
+
+
 def test_stretches_keep_every_pair():
     text = "unu doi trei patru cinci șase șapte opt nouă zece unsprezece doisprezece " * 9
     words = [w for w in text.split()]
