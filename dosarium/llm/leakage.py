@@ -17,10 +17,13 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialise
 
@@ -105,27 +108,46 @@ def find_near(docs: DataFrame, items: DataFrame, share: float = 0.8, spread: int
     """(doc_id, item_id, share): proximity matches. Documents in which, within a stretch of ``spread`` times the
     item's length, at least ``share`` of the item's distinct words stand, in any order.
 
-    Stretches overlap by half, so none is missed that fits into half of one; terms are counted once a stretch.
+    Every place where a stretch may begin is looked at; terms are counted once a stretch.
     """
     spoken = item_words(items, item_key, item_column).select("item_id", "off", F.xxhash64("term").alias("term_id"), "term")
     sizes = spoken.groupBy("item_id").agg((F.max("off") + 1).cast("int").alias("size"), F.count_distinct("term_id").alias("n_terms"))
+    # Less a trifle, so that a product which floats put above a whole number is that number.
+    sizes = sizes.withColumn("least", F.greatest(F.ceil(F.col("n_terms") * share - 1e-9), F.lit(1)))
     postings = build_index(docs, spoken.select("term", "term_id").distinct(), doc_key, doc_column)
     held = spoken.select("item_id", "term_id").distinct()
     counts = postings.groupBy("term_id").agg(F.count("*").alias("n"))
-    # A match may lack (1 - share) of the terms, so it has one of the rarest of that many and one more.
+    # A match may lack all but ``least`` of the terms, so it has one of the rarest of that many and one more.
     order = Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "term_id")
-    rare = held.join(counts, "term_id", "left").join(sizes, "item_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.floor(F.col("n_terms") * (1 - share)) + 1)
-    half = F.greatest((F.col("size") * spread / 2).cast("int"), F.lit(1))
-
-    def cells(df: DataFrame) -> DataFrame:
-        at = F.floor(F.col("pos") / half)
-        return df.select("item_id", "doc_id", "term_id", "n_terms", F.explode(F.array(at, at - 1)).alias("cell")).distinct()
-
-    found = cells(postings.join(rare.select("item_id", "term_id", "size", "n_terms"), "term_id")).select("item_id", "doc_id", "cell").distinct()
-    there = found.join(held, "item_id").join(sizes, "item_id").select("item_id", "doc_id", "cell", "term_id", "n_terms", half.alias("half"))
-    spots = postings.join(there, ["doc_id", "term_id"]).where((F.floor(F.col("pos") / F.col("half")) - F.col("cell")).between(0, 1))
-    full = spots.groupBy("item_id", "doc_id", "cell", "n_terms").agg(F.count_distinct("term_id").alias("m")).where(F.col("m") >= share * F.col("n_terms"))
-    return full.groupBy("doc_id", "item_id").agg(F.max(F.col("m") / F.col("n_terms")).alias("share"))
+    rare = held.join(counts, "term_id", "left").join(sizes, "item_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n_terms") - F.col("least") + 1)
+    found = postings.join(rare.select("item_id", "term_id"), "term_id").select("item_id", "doc_id").distinct()
+    spots = materialise(found.join(held, "item_id").join(postings, ["doc_id", "term_id"]).select("item_id", "doc_id", "term_id", "pos"), "spots")
+    enough = spots.groupBy("item_id", "doc_id").agg(F.count_distinct("term_id").alias("m")).join(sizes, "item_id").where("m >= least").select("item_id", "doc_id", "size", "n_terms", "least")
+    # One document's places of one item's words.
+    placed = spots.join(enough, ["item_id", "doc_id"]).groupBy("item_id", "doc_id", "size", "n_terms", "least").agg(F.array_sort(F.collect_list(F.struct("pos", "term_id"))).alias("places"))
+
+    @F.pandas_udf(T.IntegerType())
+    def most(places: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([most_terms([(p["pos"], p["term_id"]) for p in x], int(n) * spread) for x, n in zip(places, size)], dtype="int32")
+
+    full = placed.withColumn("m", most("places", "size")).where("m >= least")
+    return full.select("doc_id", "item_id", (F.col("m") / F.col("n_terms")).alias("share"))
+
+
+def most_terms(places: list[tuple[int, int]], length: int) -> int:
+    """The most distinct terms within ``length`` positions; places are (position, term) in order."""
+    held: Counter = Counter()
+    start = best = 0
+    for pos, term in places:
+        held[term] += 1
+        while places[start][0] <= pos - length:
+            old = places[start][1]
+            held[old] -= 1
+            if not held[old]:
+                del held[old]
+            start += 1
+        best = max(best, len(held))
+    return best
 
 
 def _small(windows: DataFrame) -> bool:

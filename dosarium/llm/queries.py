@@ -91,6 +91,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, share): documents in which most words of an item stand close together, in any order."""
+    return leakage.find_near(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, share, mean_pmi, spam): the coherence of every document."""
     return spam.incoherent_pages(table(spark, sf_dir, "documents"))
@@ -129,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_repaired": p6_repaired,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
+        "p8_near": p8_near,
         "p9_found": p9_found,
         "p9_pages": p9_pages,
     }

@@ -341,6 +341,25 @@ def test_proximity(spark):
     assert [(r["doc_id"], r["item_id"]) for r in got.collect()] == [(1, 7)]
 
 
+def test_proximity_against_brute_force(spark):
+    rnd = random.Random(5)
+    items = [(0, "alfa beta gama delta omega"), (1, "unu doi trei patru cinci sase sapte opt noua zece")]
+    docs = []
+    for d in range(80):
+        words = items[d % 2][1].split()
+        kept = rnd.sample(words, max(1, len(words) * rnd.choice([6, 8, 8, 10]) // 10))
+        text = [w for x in kept for w in [x, *["z"] * rnd.choice([0, 0, 1, 2])]]
+        docs.append((d, " ".join(["y"] * rnd.randrange(30) + text)))
+    expect = set()
+    for d, t in docs:
+        for i, x in items:
+            terms, w = set(x.split()), t.split()
+            most = max(len(terms & set(w[k : k + 2 * len(terms)])) for k in range(len(w)))
+            expect |= {(d, i, most)} if 10 * most >= 8 * len(terms) else set()
+    got = leakage.find_near(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], round(r["share"] * len(items[r["item_id"]][1].split()))) for r in got.collect()} == expect and expect
+
+
 # 9: spam
 
 
