@@ -1,34 +1,42 @@
 """New batches against everything accepted before, without going through the history again.
 
-The store keeps, for each accepted record only, its minwise band keys (hash
-partitioned) and its signature with the words needed for the check. A batch
-probes the buckets of its own keys, candidates are verified, and the keys of
-the records that turn out to be new files are appended.
+The store keeps, for each accepted record only, its minwise band keys and its
+signature with the words needed for the check. Both lie in hash partitions by
+the record's numbers, which must agree exactly. A batch reads the partitions of
+its own numbers, probes the buckets of its own keys there, verifies the
+candidates, and appends the keys of the records that turn out to be new files.
+A store is opened again by its path, in any session.
 
 Two records name the same file if the numbers of path and name are the same and
 their words agree one to one, apart from a slip in a word, a shortened word,
 the order of the words, the spelling of the path and marks of a copy.
 
 Hot groups: records with equal canonical text are collapsed before any key is
-made; within a batch each bucket is compared with its few smallest ids at a
-time, round by round, so no bucket's pairs are ever all emitted and no bucket
-is gathered in one task.
+made; every bucket is refined by the numbers and by how many words path and
+name have, which equal files have in common. Within a batch a bucket is
+compared with its smallest ids at a time, ``LEADERS`` at first and ``GROWTH``
+times as many in each further round, without those already linked; so a bucket
+is never gathered in one task and a few rounds are enough for any size.
 
 Defined results: records with null path and null name name no file and are
-left out; a single null counts as the empty text; a key that comes twice counts
-once (smallest text); empty batches and tables give no links; only the named
-columns are read.
+left out; a single null counts as the empty text; a null batch number comes
+after all others; repeated rows count once, keys must be unique; empty
+batches and tables give no links; only the named columns are read. A batch that
+was not appended completely, because its writer died, is not part of the store.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
+from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,21 +44,26 @@ from ..session import materialise, scratch_path
 from .confusables import consistent
 
 BANDS, ROWS = 16, 2
-#: Hash partitions of the stored keys.
+#: Hash partitions of a new store; more for a larger one. An existing store keeps its own number.
 PARTS = 16
-#: Smallest ids of a bucket that the others are compared with in one round.
-LEADERS = 4
-#: Share of equal signature places below which a candidate is not looked at further.
-LEAST_ESTIMATE = 0.25
+#: Smallest ids of a bucket that the others are compared with in the first round, and the growth from round to round.
+LEADERS, GROWTH = 32, 8
+#: Parts of a bucket that are ranked by themselves before the bucket is.
+SALTS = 16
+#: Share of equal signature places below which a candidate is not looked at further: fewer than two places beyond those of the band that it shares.
+LEAST_ESTIMATE = 4 / 32
 _RNG = np.random.default_rng(20240501)
 _MUL = _RNG.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 
+#: Words that a worker remembers; emptied when full.
+KNOWN_WORDS = 200_000
+
 # How systems and people mark a copy, before and after a name.
 COPY_BEFORE = r"^(?:copie (?:a|la|de)|copy of|copia (?:de|lui)|kopie von|copie)[\s_\-]+"
 COPY_AFTER = r"[\s_\-]*(?:\(\d{1,2}\)|[\s_\-](?:copie|copy|copia|kopie|dup|duplicat|duplicate)(?:[\s_\-]*\(?\d{1,2}\)?)?)$"
 # Words that carry nothing of their own in a name.
-SMALL_WORDS = frozenset("a de la pe cu din si in the of nr no".split())
+SMALL_WORDS = frozenset("a de la pe cu din si in the nr".split())
 # Words that mark a copy; with a slip in them they stay in a name.
 COPY_WORDS = ("copie", "copy", "copia", "kopie", "duplicat")
 
@@ -82,44 +95,80 @@ def _stem(name: str) -> str:
     return name
 
 
+def _decoded(path: str) -> str:
+    """The path without percent escapes, where they give a valid text."""
+    if not re.search("%[0-9A-Fa-f]{2}", path):
+        return path
+    try:
+        return unquote(path, errors="strict")
+    except UnicodeDecodeError:
+        return path
+
+
+def _words(text: str) -> list[str]:
+    """The words that count: small words and words that mark a copy are left out, unless there are no others."""
+    found = re.findall(r"[^\W\d_]+", text)
+    kept = [w for w in found if w not in SMALL_WORDS and not (3 < len(w) < 12 and any(one_slip(w, c) for c in COPY_WORDS))]
+    return kept or found
+
+
 def canonical(path: str | None, name: str | None) -> tuple[str, str, list[str], list[str]]:
     """(canonical text, numbers, words of the path, words of the name)"""
-    parts = [p for p in re.sub(r"[\\/]+", "/", fold(path or "")).strip().split("/") if p.strip() not in ("", ".")]
+    parts = [p for p in re.sub(r"[\\/]+", "/", fold(_decoded(path or ""))).strip().split("/") if p.strip() not in ("", ".")]
     if parts:
         parts[-1] = _stem(parts[-1])
     path_text, name_text = "/".join(parts), _stem(fold(name or ""))
-    path_words = re.findall(r"[^\W\d_]+", path_text)
-    name_words = re.findall(r"[^\W\d_]+", name_text)
+    path_words, name_words = _words(path_text), _words(name_text)
     numbers = "".join(re.findall(r"\d", path_text)) + "|" + " ".join(sorted(re.findall(r"\d+", name_text)))
     canon = " ".join(path_words) + "|" + " ".join(sorted(name_words)) + "|" + numbers
     return canon, numbers, path_words, name_words
 
 
-def _shingles(words: list[str], kind: str) -> set[str]:
-    return {kind + (f" {w} ")[i : i + 3] for w in words for i in range(len(w))}
-
-
-def _keys(numbers: str, path_words: list[str], name_words: list[str]) -> tuple[np.ndarray, list[int]]:
-    grams = _shingles(path_words, "p") | _shingles(name_words, "n") or {""}
-    h = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams))
-    with np.errstate(over="ignore"):
-        least = ((h[:, None] * _MUL[None, :] + _ADD[None, :]) >> np.uint64(33)).min(axis=0).astype(np.int32)
-    # The numbers must agree exactly, so they refine every bucket.
-    buckets = [
-        int(np.int64(np.uint64(xxhash.xxh64_intdigest(f"{numbers}#{b}#{least[b * ROWS : (b + 1) * ROWS].tobytes().hex()}"))))
-        for b in range(BANDS)
-    ]
-    return least, buckets
+class _Signer:
+    """Minwise values of words, remembered; the signature of a record is the least of its words' values place by place."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, np.ndarray] = {}
+
+    def word(self, word: str) -> np.ndarray:
+        """``word`` begins with a letter that tells whether it stands in the path or in the name."""
+        found = self.known.get(word)
+        if found is None:
+            kind, padded = word[0], f" {word[1:]} "
+            grams = {kind + padded[i : i + 3] for i in range(len(padded) - 2)} or {kind}
+            h = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams))
+            with np.errstate(over="ignore"):
+                found = np.full(BANDS * ROWS, np.iinfo(np.int32).max, dtype=np.int32)
+                for at in range(0, len(h), 10_000):  # very long words in parts
+                    found = np.minimum(found, ((h[at : at + 10_000, None] * _MUL[None, :] + _ADD[None, :]) >> np.uint64(33)).min(axis=0).astype(np.int32))
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            if len(word) < 100:
+                self.known[word] = found
+        return found
+
+    def keys(self, numbers: str, path_words: list[str], name_words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """(signature, buckets): numbers and numbers of words must agree exactly, so they refine every bucket."""
+        words = {"p" + w for w in path_words} | {"n" + w for w in name_words} or {"n"}
+        least = self.word(words.pop())
+        for w in words:
+            least = np.minimum(least, self.word(w))
+        refined = f"{numbers}#{len(path_words)}#{len(name_words)}#".encode()
+        places = least.tobytes()
+        step = 4 * ROWS
+        return least, [xxhash.xxh64_intdigest(b"%b%d#%b" % (refined, b, places[b * step : (b + 1) * step])) - (1 << 63) for b in range(BANDS)]
 
 
 @F.pandas_udf(RECORD)
-def read_record(paths: pd.Series, names: pd.Series) -> pd.DataFrame:
-    rows = []
-    for path, name in zip(paths, names):
-        canon, numbers, pw, nw = canonical(path, name)
-        least, buckets = _keys(numbers, pw, nw)
-        rows.append((canon, numbers, pw, nw, least.tolist(), buckets))
-    return pd.DataFrame(rows, columns=RECORD.names)
+def read_record(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    signer = _Signer()
+    for paths, names in batches:
+        rows = []
+        for path, name in zip(paths, names):
+            canon, numbers, pw, nw = canonical(path, name)
+            least, buckets = signer.keys(numbers, pw, nw)
+            rows.append((canon, numbers, pw, nw, least, buckets))
+        yield pd.DataFrame(rows, columns=RECORD.names)
 
 
 def one_slip(a: str, b: str) -> bool:
@@ -154,20 +203,23 @@ def _shortened(short: str, long: str) -> bool:
 
 
 def same_words(a: list[str], b: list[str]) -> bool:
-    """The words agree one to one, in any order, with slips and shortenings; small words and words that mark a copy may be missing."""
+    """The words agree one to one, in any order, with slips and shortenings."""
+    if len(a) != len(b):
+        return False
     left, right = list(a), list(b)
     for w in a:
         if w in right:
             right.remove(w)
             left.remove(w)
-    for w in list(left):
+    for w in left:
         for close in (lambda x: _close(w, x), lambda x: _shortened(w, x) or _shortened(x, w)):
             found = next((x for x in right if close(x)), None)
             if found is not None:
                 right.remove(found)
-                left.remove(w)
                 break
-    return all(w in SMALL_WORDS or len(w) > 3 and any(one_slip(w, c) for c in COPY_WORDS) for w in left + right)
+        else:
+            return False
+    return True
 
 
 @F.pandas_udf(T.BooleanType())
@@ -180,63 +232,86 @@ def _estimate() -> F.Column:
 
 
 def _verified(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
-    """The pairs (id, other) that name the same file."""
-    right = old.select(F.col("id").alias("other"), F.col("path_words").alias("other_path"), F.col("name_words").alias("other_name"), F.col("signature").alias("other_signature"))
-    both = pairs.join(new.select("id", "path_words", "name_words", "signature"), "id").join(right, "other")
-    return both.where(_estimate() >= LEAST_ESTIMATE).where(same_file("path_words", "name_words", "other_path", "other_name")).select("id", "other")
+    """The pairs (part, id, other) that name the same file, as (id, other, known)."""
+    right = old.select("part", F.col("id").alias("other"), F.col("path_words").alias("other_path"), F.col("name_words").alias("other_name"), F.col("signature").alias("other_signature"), "known")
+    both = pairs.join(new.select("id", "path_words", "name_words", "signature"), "id").join(right, ["part", "other"])
+    return both.where(_estimate() >= LEAST_ESTIMATE).where(same_file("path_words", "name_words", "other_path", "other_name")).select("id", "other", "known")
 
 
 class History:
     """The stored keys and records of what was accepted, in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.batches = spark, path or scratch_path(spark, "history"), 0
-        key = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("id", T.LongType()), T.StructField("part", T.IntegerType())])
-        record = T.StructType([T.StructField("id", T.LongType()), *[f for f in RECORD.fields if f.name != "buckets"]])
-        self.schemas = {"keys": key, "records": record}
-
-    def read(self, what: str) -> DataFrame:
+    KEYS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("id", T.LongType()), T.StructField("part", T.IntegerType())])
+    RECORDS = T.StructType([T.StructField("id", T.LongType()), *[f for f in RECORD.fields if f.name in ("path_words", "name_words", "signature")], T.StructField("part", T.IntegerType())])
+
+    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = PARTS):
+        self.spark, self.path, self.parts, self.batches = spark, path or scratch_path(spark, "history"), parts, 0
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if self._exists("parts"):
+            self.parts = spark.read.parquet(f"{self.path}/parts").first()["parts"]
+        else:
+            spark.createDataFrame([(parts,)], "parts int").coalesce(1).write.parquet(f"{self.path}/parts")
+        # The keys of a batch are written last.
+        while self._exists(f"keys/batch={self.batches}"):
+            self.batches += 1
+
+    def _exists(self, what: str) -> bool:
+        return self._files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}/_SUCCESS"))
+
+    def part(self) -> F.Column:
+        """The hash partition of a record."""
+        return F.pmod(F.xxhash64("numbers"), F.lit(self.parts)).cast("int")
+
+    def read(self, what: str, parts: list[int]) -> DataFrame:
+        """Keys or records of the given partitions only."""
+        schema = self.KEYS if what == "keys" else self.RECORDS
         if not self.batches:
-            return self.spark.createDataFrame([], self.schemas[what])
-        reader = self.spark.read.schema(self.schemas[what]).option("basePath", f"{self.path}/{what}")
-        return reader.parquet(*[f"{self.path}/{what}/batch={b}" for b in range(self.batches)])
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}")
+        return reader.parquet(*[f"{self.path}/{what}/batch={b}" for b in range(self.batches)]).where(F.col("part").isin(parts)).select(*schema.names)
 
     def append(self, accepted: DataFrame) -> None:
-        keys = accepted.select(F.explode(F.array_distinct("buckets")).alias("bucket"), "id").withColumn("part", F.pmod("bucket", F.lit(PARTS)).cast("int"))
-        keys.repartition("part").sortWithinPartitions("part", "bucket").write.parquet(f"{self.path}/keys/batch={self.batches}")
-        accepted.select(*self.schemas["records"].names).write.parquet(f"{self.path}/records/batch={self.batches}")
+        """Store a batch; hot partitions are spread over tasks and files."""
+        keys = accepted.select(F.explode(F.array_distinct("buckets")).alias("bucket"), "id", "part")
+        for what, rows in (("records", accepted.select(*self.RECORDS.names)), ("keys", keys)):
+            rows.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/{what}/batch={self.batches}")
         self.batches += 1
 
     def add_batch(self, batch: DataFrame) -> DataFrame:
         """Take in one batch, as ``read_records`` gives it. Returns (id, first): the accepted record of every
         record of the batch that names a file accepted before it; the others are accepted now."""
-        return self.add_firsts(materialise(collapse(batch, []), "firsts"), batch)
-
-    def add_firsts(self, firsts: DataFrame, batch: DataFrame) -> DataFrame:
-        """``add_batch`` with the batch's first record of each canonical text already at hand."""
-        old, old_keys = self.read("records"), self.read("keys")
-
-        waiting = firsts.select("id", F.explode(F.array_distinct("buckets")).alias("bucket")).withColumn("part", F.pmod("bucket", F.lit(PARTS)).cast("int"))
-        probed = waiting.join(old_keys.withColumnRenamed("id", "other"), ["part", "bucket"]).select("id", "other")
-        known = old.select("id", "path_words", "name_words", "signature")
-        own = firsts.select("id", "path_words", "name_words", "signature")
-        waiting = waiting.select("id", "bucket")
-        pairs, led = _led(waiting)
-        found = _verified(probed.unionByName(pairs).distinct(), own, known.unionByName(own))
-        links = materialise(found, "links")
-        # Buckets with more members than one round compares: again, without those compared and those linked.
-        while not waiting.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > LEADERS).isEmpty():
-            waiting = led.where(~F.array_contains("lead", F.col("id"))).select("id", "bucket").join(links.select("id").distinct(), "id", "left_anti")
-            waiting = materialise(waiting, "waiting")
-            pairs, led = _led(waiting)
+        firsts = materialise(collapse(batch, []).withColumn("part", self.part()), "firsts")
+        parts = [r["part"] for r in firsts.select("part").distinct().collect()]  # no more than the store has
+        return materialise(with_copies(self.add_firsts(firsts, parts), firsts, batch, []), "found")
+
+    def probe(self, firsts: DataFrame, parts: list[int]) -> DataFrame:
+        """(part, id, other): the records of the store that share a bucket with one of the batch."""
+        asked = firsts.select("part", "id", F.explode(F.array_distinct("buckets")).alias("bucket"))
+        return asked.join(self.read("keys", parts).withColumnRenamed("id", "other"), ["part", "bucket"]).select("part", "id", "other")
+
+    def add_firsts(self, firsts: DataFrame, parts: list[int], hot: bool = True) -> DataFrame:
+        """(id, first) of a batch of distinct canonical texts, which lies in a table. ``hot`` tells that some bucket may have more than ``LEADERS`` members."""
+        known = self.read("records", parts).withColumn("known", F.lit(True))
+        own = firsts.select(*self.RECORDS.names).withColumn("known", F.lit(False))
+        waiting = firsts.select("part", "id", F.explode(F.array_distinct("buckets")).alias("bucket"))
+        leaders = LEADERS
+        pairs = self.probe(firsts, parts).unionByName(_led(waiting, leaders)).distinct()
+        links = materialise(_verified(pairs, own, known.unionByName(own)), "links")
+        while hot:
+            # Buckets with more members than the round compared: again, without the leaders and those linked.
+            rest = waiting.join(links.select("id").distinct(), "id", "left_anti")
+            waiting = materialise(rest.join(_leaders(waiting, leaders).select("bucket", "id"), ["bucket", "id"], "left_anti"), "waiting")
+            if waiting.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+                break
+            leaders *= GROWTH
+            pairs = _led(waiting, leaders).distinct()
             links = materialise(links.unionByName(_verified(pairs, own, own)), "links")
-        links = resolve(links.groupBy("id").agg(F.min("other").alias("other")))
-
+        # What the store has goes before what the batch itself has.
+        best = links.groupBy("id").agg(F.min(F.struct(~F.col("known"), "other")).alias("b")).select("id", F.col("b.other").alias("other"))
+        links = resolve(materialise(best, "best"))
         self.append(firsts.join(links, "id", "left_anti"))
-        # A record is linked through the first of its own canonical text, or is that one's copy.
-        head = firsts.select(F.col("id").alias("head"), "canon").join(links.withColumnRenamed("id", "head"), "head", "left")
-        found = batch.select("id", "canon").join(head, "canon").select("id", F.coalesce("other", "head").alias("first")).where("first < id")
-        return materialise(found, "found")
+        return links.withColumnRenamed("other", "first")
 
 
 def collapse(records: DataFrame, by: list[str]) -> DataFrame:
@@ -245,13 +320,24 @@ def collapse(records: DataFrame, by: list[str]) -> DataFrame:
     return records.groupBy(*by, "canon").agg(F.min_by(F.struct(*others), "id").alias("r")).select(*by, "canon", "r.*")
 
 
-def _led(waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs of each bucket's members with its smallest ids, and the members with those ids beside them."""
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-    lead = waiting.withColumn("r", rank).where(F.col("r") <= LEADERS).groupBy("bucket").agg(F.collect_list("id").alias("lead"))  # at most LEADERS ids
-    led = waiting.join(lead.where(F.size("lead") > 1), "bucket")
-    pairs = led.select("id", F.explode("lead").alias("other")).where(F.col("other") < F.col("id")).distinct()
-    return pairs, led
+def with_copies(links: DataFrame, firsts: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:
+    """(by, id, first) of all records: each is linked through the first of its own canonical text, or is that one's copy."""
+    heads = firsts.select(*[F.col(c).alias(f"h_{c}") for c in (*by, "canon")], F.col("id").alias("head")).join(links.select(F.col("id").alias("head"), "first"), "head", "left")
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in (*by, "canon")])
+    return records.join(heads, same).select(*by, "id", F.coalesce("first", "head").alias("first")).where("first < id").distinct()
+
+
+def _leaders(waiting: DataFrame, most: int) -> DataFrame:
+    """(bucket, id): the ``most`` smallest ids of each bucket, ranked in parts first, so that no task ranks a hot bucket alone."""
+    part = waiting.select("bucket", "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    some = part.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("id"))).where(F.col("r") <= most)
+    return some.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).where(F.col("r") <= most).select("bucket", "id")
+
+
+def _led(waiting: DataFrame, most: int) -> DataFrame:
+    """(part, id, other): the pairs of each bucket's members with its smallest ids."""
+    lead = _leaders(waiting, most).select("bucket", F.col("id").alias("other"))
+    return waiting.join(lead, "bucket").where(F.col("other") < F.col("id")).select("part", "id", "other")
 
 
 def resolve(links: DataFrame) -> DataFrame:
@@ -277,12 +363,15 @@ def dedup_batches(rows: DataFrame, key: str = "id", path: str = "original_path",
     """
     spark = rows.sparkSession
     history = history or History(spark)
-    records = materialise(read_records(rows, key, path, name, batch), "records", ["batch"])
-    firsts = materialise(collapse(records, ["batch"]), "firsts", ["batch"])
-    numbers = sorted(r[0] for r in records.select("batch").distinct().collect())  # one value a batch
-    out = spark.createDataFrame([], "id long, first long, batch int")
-    for number in numbers:
-        own = F.col("batch") == number
-        found = history.add_firsts(firsts.where(own).drop("batch"), records.where(own).select("id", "canon"))
-        out = out.unionByName(found.withColumn("batch", F.lit(number)))
-    return out
+    records = materialise(read_records(rows, key, path, name, batch), "records")
+    firsts = materialise(collapse(records, ["batch"]).withColumn("part", history.part()), "firsts", ["batch"])
+    # One row a batch: its partitions, no more than the store has, and whether one of its buckets has many members.
+    parts = firsts.groupBy("batch").agg(F.collect_set("part").alias("parts")).collect()
+    sizes = firsts.select("batch", F.explode(F.array_distinct("buckets")).alias("bucket")).groupBy("batch", "bucket").agg(F.count("*").alias("n"))
+    hot = {r["batch"] for r in sizes.where(F.col("n") > LEADERS).select("batch").distinct().collect()}
+    found = [spark.createDataFrame([], "id long, first long")]
+    for number, own in sorted(((r["batch"], r["parts"]) for r in parts), key=lambda x: (x[0] is None, x[0])):
+        batch_firsts = firsts.where(F.col("batch").eqNullSafe(F.lit(number).cast("int"))).drop("batch")
+        found.append(history.add_firsts(batch_firsts, own, number in hot))
+    links = functools.reduce(DataFrame.unionByName, found)
+    return with_copies(links, firsts, records, ["batch"]).select("id", "first", "batch")

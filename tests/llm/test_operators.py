@@ -51,6 +51,46 @@ def test_dedup_of_nothing_and_of_a_hot_group(spark):
     assert links(got) == {(i, 2) for i in range(3, 301)}
 
 
+def test_store_is_reopened_and_only_its_matching_partitions_are_read(spark, tmp_path):
+    def batch(rows):
+        return history_dedup.read_records(records(spark, rows), "id", "original_path", "ai_proposed_name", "batch_no")
+
+    store = history_dedup.History(spark, f"file://{tmp_path}/store", parts=32)
+    store.add_batch(batch([(i, f"/in/doc {i * 100}.pdf", f"Factură_Zorvelia_{i * 100}.pdf", 0) for i in range(1, 200)]))
+    again = history_dedup.History(spark, f"file://{tmp_path}/store")
+    assert (again.parts, again.batches) == (32, 1)
+    new = history_dedup.collapse(batch([(900, "/in/doc%20700.pdf", "Factura Zorvelia 700.pdf", 1), (901, "/in/x.pdf", "Aviz 5.pdf", 1)]), []).withColumn("part", again.part())
+    parts = [r["part"] for r in new.select("part").distinct().collect()]
+    plan = again.probe(new, parts)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part#\d+ (IN|=)", plan) and len(parts) <= 2
+    read = {r[0].split("part=")[1].split("/")[0] for r in again.read("keys", parts).select(F.input_file_name()).distinct().collect()}
+    assert read <= set(map(str, parts))
+    assert links(again.add_batch(batch([(900, "/in/doc%20700.pdf", "Factura Zorvelia 700.pdf", 1), (901, "/in/x.pdf", "Aviz 5.pdf", 1)]))) == {(900, 7)}
+    third = history_dedup.History(spark, f"file://{tmp_path}/store")
+    assert third.batches == 2 and links(third.add_batch(batch([(950, "/in/x.pdf", "aviz_5 (1).pdf", 2)]))) == {(950, 901)}
+    # A batch whose keys were not written completely is no part of the store.
+    (tmp_path / "store/keys/batch=2/_SUCCESS").unlink(missing_ok=True)
+    assert history_dedup.History(spark, f"file://{tmp_path}/store").batches == 2
+
+
+def test_a_bucket_of_many_files_that_do_not_match(spark, monkeypatch):
+    monkeypatch.setattr(history_dedup, "LEADERS", 2)
+    monkeypatch.setattr(history_dedup, "GROWTH", 3)
+    rnd = random.Random(4)
+    firms: list[str] = []  # no two of them a slip apart
+    while len(firms) < 50:
+        new = "".join(rnd.choice(p) for p in ("bdfgl", "aeiou", "mnrst", "aeiou", "ckpvz", "aeiou", "bdfgl"))
+        firms += [] if any(history_dedup.same_words([new], [f]) for f in firms) else [new]
+    rows = [(i, "/arhiva/facturi furnizori/document scanat.pdf", f"Factura_lunara_servicii_{f}.pdf", 0) for i, f in enumerate(firms)]
+    rows += [(1000 + i, "/arhiva/facturi furnizori/document scanat.pdf", f"{f}_Factura_lunara_serviciu.pdf", 0) for i, f in enumerate(firms)]
+    assert links(history_dedup.dedup_batches(records(spark, rows))) == {(1000 + i, i) for i in range(50)}
+
+
+def test_batches_without_a_number_come_last(spark):
+    rows = [(1, "/a/b 7.pdf", "Aviz 7.pdf", 3), (2, "/a/b 7.pdf", "Aviz 7 copie.pdf", None), (3, "/a/b 8.pdf", "Aviz 8.pdf", None), (3, "/a/b 8.pdf", "Aviz 8.pdf", None), (4, "/a/b 8.pdf", "aviz 8.pdf", None)]
+    assert links(history_dedup.dedup_batches(records(spark, rows))) == {(2, 1), (4, 3)}
+
+
 def test_same_words_against_all_single_slips():
     word = "notificare"
     slips = {word[:i] + word[i + 1 :] for i in range(10)} | {word[:i] + "x" + word[i:] for i in range(11)} | {word[:i] + "x" + word[i + 1 :] for i in range(10)} | {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(9)}
