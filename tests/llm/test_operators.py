@@ -4,6 +4,8 @@ import random
 import re
 import unicodedata
 
+import hypothesis
+import hypothesis.strategies
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +161,38 @@ def test_lookup_against_brute_force():
             assert d.lookup(wrong) == near[1] == k
 
 
+def test_every_word_within_reach_is_found_wherever_its_slips_are():
+    def random_edit(rnd, w):
+        i = rnd.randrange(len(w) + 1)
+        return rnd.choice([w[:i] + rnd.choice("abcdefgx") + w[i:], w[:i] + w[i + 1 :], w[:i] + rnd.choice("abcdefgx") + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]])
+
+    rnd = random.Random(9)
+    for allowed in (canonical_list.edits_for, canonical_list.edits_for_phrase):
+        words = {"".join(rnd.choices("abcdefg", k=rnd.choice([2, 3, 4, 6, 9, 12, 14, 30, 39, 41, 60]))) for _ in range(150)}
+        index = canonical_list.Deletes(allowed, words)
+        for w in sorted(words):
+            asked = w
+            for _ in range(rnd.randint(0, 4)):
+                asked = random_edit(rnd, asked)
+            if asked:
+                assert set(index.near(asked)) == {x for x in words if canonical_list.edits(asked, x, 9) <= min(allowed(x), allowed(asked))}
+
+
+@pytest.mark.parametrize("value", ["reconciliatxx", "rexonciliatixn", "rxconciliaton"])
+def test_slips_at_any_place_count_alike(value):
+    assert canonical_list.Dictionary([(1, "reconciliation", 1), (2, "registration", 9)]).lookup(value) == 1
+
+
+def test_a_list_in_several_parts_gives_what_one_part_gives(spark, monkeypatch):
+    rnd = random.Random(3)
+    entries = [(k, "".join(rnd.choices("abcdefgh", k=rnd.choice([4, 7, 12]))) + rnd.choice(["", " de acte", " munca"]), rnd.randint(0, 3)) for k in range(120)]
+    values = [t for _, t, _ in entries] + [t[:2] + "x" + t[3:] for _, t, _ in entries] + [t[:3] + "." for _, t, _ in entries] + ["origami", " ANY\u00a0"]
+    df = spark.createDataFrame([(v, "x") for v in values], "value string, best string")
+    one = {tuple(r) for r in canonical_list.map_values(df, entries, ("any",)).collect()}
+    monkeypatch.setattr(canonical_list, "PART_TERMS", 30)
+    assert {tuple(r) for r in canonical_list.map_values(df, entries, ("any",)).collect()} == one and len({r[2] for r in one}) > 100
+
+
 def test_mapping_of_rows(spark):
     df = spark.createDataFrame([(1, "Factură"), (2, None), (3, " any "), (4, ""), (5, "origami")], "type_id2 int, value string")
     assert [r["type_id"] for r in canonical_list.map_values(df, ENTRIES, ("any",)).collect()] == [1, None, None, None, -1]
@@ -245,6 +279,25 @@ def test_consistent_form(value, form):
     assert confusables.skeleton(value) == confusables.skeleton(form)
 
 
+def test_look_alikes_of_every_alphabet(spark):
+    table = confusables.prototype_table(spark)
+    if not table:
+        pytest.skip("no look-alike data on this cluster")
+    looks = confusables.Lookalikes(table)
+    for value, form in {"Տcan": "Scan", "Ꮯontract": "Contract", "cօntrol": "control", "ᴄontract": "contract", "ꓚontract": "Contract", "cⲟntract": "contract", "ƅilet": "bilet", "Ꭵnvoice": "Invoice", "ϹOΝTRΑCT": "CONTRACT", "Дoгoвop": "Договор", "請求書PDF": "請求書PDF", "Łódź": "Łódź", "Ωmega": "Ωmega"}.items():
+        got, mixed = looks.read(value)
+        assert (got, mixed) == (form, value == "Ωmega") and looks.skeleton(got) == looks.skeleton(value)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate("Տcan Ꮯontract cօntrol ᴄontract ꓚontract cⲟntract Ꭵnvoice ƅilet Ωmega Contract Договор".split())], "id long, v string")
+    assert {r["rec_id"] for r in confusables.changed_records(df, "v", "id").collect()} == set(range(9))
+
+
+@hypothesis.settings(max_examples=300, deadline=None)
+@hypothesis.given(hypothesis.strategies.text(alphabet="aeocpxyABCEHIKMTșţăВСорауехіΑΒορνυОօ ﬁ０１ｃ\u200b\u0301-‑", max_size=12))
+def test_forms_keep_the_skeleton_and_are_consistent_themselves(text):
+    form = confusables.consistent(text)
+    assert confusables.skeleton(form) == confusables.skeleton(text) and confusables.consistent(form) == form
+
+
 def test_groups_and_changed_records(spark):
     rows = [(1, "Curs", "a"), (2, "Сurs", "b"), (2, "Сurs", "b"), (3, None, "c"), (4, "", "d"), (5, "х" * 100_000 + "a", "e")]
     df = spark.createDataFrame(rows, "id long, v string, skeleton string")
