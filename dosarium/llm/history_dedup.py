@@ -48,6 +48,10 @@ BANDS, ROWS = 16, 2
 PARTS = 16
 #: Smallest ids of a bucket that the others are compared with in the first round, and the growth from round to round.
 LEADERS, GROWTH = 32, 8
+#: The batch number of rows without one.
+LAST = 2**31 - 1
+#: Rows up to which the keys or candidates of a batch are sent to the tasks that read the store; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Parts of a bucket that are ranked by themselves before the bucket is.
 SALTS = 16
 #: Share of equal signature places below which a candidate is not looked at further: fewer than two places beyond those of the band that it shares.
@@ -231,10 +235,17 @@ def _estimate() -> F.Column:
     return F.aggregate(F.zip_with("signature", "other_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(BANDS * ROWS)
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows``, a stored table, marked for broadcast if it has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def _verified(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
     """The pairs (part, id, other) that name the same file, as (id, other, known)."""
+    pairs = _few(materialise(pairs.distinct(), "candidates"))
     right = old.select("part", F.col("id").alias("other"), F.col("path_words").alias("other_path"), F.col("name_words").alias("other_name"), F.col("signature").alias("other_signature"), "known")
-    both = pairs.join(new.select("id", "path_words", "name_words", "signature"), "id").join(right, ["part", "other"])
+    left = new.select("part", "id", "path_words", "name_words", "signature")
+    both = left.join(pairs, ["part", "id"]).join(right.join(pairs.select("part", "other").distinct(), ["part", "other"], "left_semi"), ["part", "other"])
     return both.where(_estimate() >= LEAST_ESTIMATE).where(same_file("path_words", "name_words", "other_path", "other_name")).select("id", "other", "known")
 
 
@@ -281,32 +292,39 @@ class History:
     def add_batch(self, batch: DataFrame) -> DataFrame:
         """Take in one batch, as ``read_records`` gives it. Returns (id, first): the accepted record of every
         record of the batch that names a file accepted before it; the others are accepted now."""
-        firsts = materialise(collapse(batch, []).withColumn("part", self.part()), "firsts")
+        firsts = materialise(collapse(batch.withColumn("batch", F.lit(0)), ["batch"]).withColumn("part", self.part()), "firsts")
         parts = [r["part"] for r in firsts.select("part").distinct().collect()]  # no more than the store has
-        return materialise(with_copies(self.add_firsts(firsts, parts), firsts, batch, []), "found")
+        pairs, hot = own_pairs(firsts)
+        links = self.add_firsts(firsts, parts, pairs, None if hot.isEmpty() else hot)
+        return materialise(with_copies(links, firsts, batch, []), "found")
 
     def probe(self, firsts: DataFrame, parts: list[int]) -> DataFrame:
         """(part, id, other): the records of the store that share a bucket with one of the batch."""
         asked = firsts.select("part", "id", F.explode(F.array_distinct("buckets")).alias("bucket"))
-        return asked.join(self.read("keys", parts).withColumnRenamed("id", "other"), ["part", "bucket"]).select("part", "id", "other")
+        if firsts.limit(BROADCAST_ROWS // BANDS + 1).count() <= BROADCAST_ROWS // BANDS:
+            asked = F.broadcast(asked)
+        return self.read("keys", parts).withColumnRenamed("id", "other").join(asked, ["part", "bucket"]).select("part", "id", "other")
 
-    def add_firsts(self, firsts: DataFrame, parts: list[int], hot: bool = True) -> DataFrame:
-        """(id, first) of a batch of distinct canonical texts, which lies in a table. ``hot`` tells that some bucket may have more than ``LEADERS`` members."""
+    def add_firsts(self, firsts: DataFrame, parts: list[int], pairs: DataFrame, hot: DataFrame | None) -> DataFrame:
+        """(id, first) of a batch of distinct canonical texts, which lies in a table, with its pairs and hot buckets as ``own_pairs`` gives them."""
         known = self.read("records", parts).withColumn("known", F.lit(True))
         own = firsts.select(*self.RECORDS.names).withColumn("known", F.lit(False))
-        waiting = firsts.select("part", "id", F.explode(F.array_distinct("buckets")).alias("bucket"))
+        pairs = pairs.select("part", "id", "other")
+        if self.batches:
+            pairs = pairs.unionByName(self.probe(firsts, parts))
         leaders = LEADERS
-        pairs = self.probe(firsts, parts).unionByName(_led(waiting, leaders)).distinct()
+        if hot is not None:
+            waiting = hot.select("part", "id", "bucket")
+            pairs = pairs.unionByName(_led(waiting, leaders))
         links = materialise(_verified(pairs, own, known.unionByName(own)), "links")
-        while hot:
+        while hot is not None:
             # Buckets with more members than the round compared: again, without the leaders and those linked.
             rest = waiting.join(links.select("id").distinct(), "id", "left_anti")
-            waiting = materialise(rest.join(_leaders(waiting, leaders).select("bucket", "id"), ["bucket", "id"], "left_anti"), "waiting")
+            waiting = materialise(rest.join(_leaders(waiting, leaders), ["bucket", "id"], "left_anti"), "waiting")
             if waiting.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
                 break
             leaders *= GROWTH
-            pairs = _led(waiting, leaders).distinct()
-            links = materialise(links.unionByName(_verified(pairs, own, own)), "links")
+            links = materialise(links.unionByName(_verified(_led(waiting, leaders), own, own)), "links")
         # What the store has goes before what the batch itself has.
         best = links.groupBy("id").agg(F.min(F.struct(~F.col("known"), "other")).alias("b")).select("id", F.col("b.other").alias("other"))
         links = resolve(materialise(best, "best"))
@@ -314,6 +332,16 @@ class History:
         return links.withColumnRenamed("other", "first")
 
 
+def own_pairs(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (batch, part, id, other) within the buckets of each batch, and the members (batch, part, id, bucket) of the hot buckets, those with more than ``LEADERS``."""
+    keys = firsts.select("batch", "part", "id", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    shared = materialise(keys.groupBy("batch", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = materialise(keys.join(_few(shared), ["batch", "bucket"]), "members")
+    small = members.where(F.col("n") <= LEADERS).groupBy("batch", "part", "bucket").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # at most LEADERS ids
+    pairs = small.select("batch", "part", F.posexplode("ids").alias("at", "id"), "ids").select("batch", "part", "id", F.explode(F.slice("ids", F.lit(1), F.col("at"))).alias("other"))
+    return materialise(pairs.distinct(), "pairs"), members.where(F.col("n") > LEADERS).select("batch", "part", "id", "bucket")
+
+
 def collapse(records: DataFrame, by: list[str]) -> DataFrame:
     """The first record of each canonical text (and each value of ``by``)."""
     others = [F.col(c) for c in records.columns if c not in ("canon", *by)]
@@ -350,9 +378,9 @@ def resolve(links: DataFrame) -> DataFrame:
 
 
 def read_records(rows: DataFrame, key: str, path: str, name: str, batch: str) -> DataFrame:
-    """(id, batch, canon, numbers, path_words, name_words, signature, buckets)"""
+    """(id, batch, canon, numbers, path_words, name_words, signature, buckets); no batch number is the greatest."""
     picked = rows.where(F.col(path).isNotNull() | F.col(name).isNotNull())
-    picked = picked.select(F.col(key).cast("long").alias("id"), F.col(batch).cast("int").alias("batch"), F.col(path).alias("p"), F.col(name).alias("n"))
+    picked = picked.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(batch).cast("int"), F.lit(LAST)).alias("batch"), F.col(path).alias("p"), F.col(name).alias("n"))
     return picked.withColumn("r", read_record("p", "n")).select("id", "batch", "r.*")
 
 
@@ -365,13 +393,12 @@ def dedup_batches(rows: DataFrame, key: str = "id", path: str = "original_path",
     history = history or History(spark)
     records = materialise(read_records(rows, key, path, name, batch), "records")
     firsts = materialise(collapse(records, ["batch"]).withColumn("part", history.part()), "firsts", ["batch"])
-    # One row a batch: its partitions, no more than the store has, and whether one of its buckets has many members.
-    parts = firsts.groupBy("batch").agg(F.collect_set("part").alias("parts")).collect()
-    sizes = firsts.select("batch", F.explode(F.array_distinct("buckets")).alias("bucket")).groupBy("batch", "bucket").agg(F.count("*").alias("n"))
-    hot = {r["batch"] for r in sizes.where(F.col("n") > LEADERS).select("batch").distinct().collect()}
+    parts = firsts.groupBy("batch").agg(F.collect_set("part").alias("parts")).collect()  # a row a batch: its partitions, no more than the store has
+    pairs, hot = own_pairs(firsts)
+    held = {r["batch"] for r in hot.select("batch").distinct().collect()}  # batches again
     found = [spark.createDataFrame([], "id long, first long")]
-    for number, own in sorted(((r["batch"], r["parts"]) for r in parts), key=lambda x: (x[0] is None, x[0])):
-        batch_firsts = firsts.where(F.col("batch").eqNullSafe(F.lit(number).cast("int"))).drop("batch")
-        found.append(history.add_firsts(batch_firsts, own, number in hot))
+    for number, own in sorted((r["batch"], r["parts"]) for r in parts):
+        of = F.col("batch") == number
+        found.append(history.add_firsts(firsts.where(of).drop("batch"), own, pairs.where(of), hot.where(of) if number in held else None))
     links = functools.reduce(DataFrame.unionByName, found)
-    return with_copies(links, firsts, records, ["batch"]).select("id", "first", "batch")
+    return with_copies(links, firsts, records, ["batch"]).select("id", "first", F.nullif("batch", F.lit(LAST)).alias("batch"))
