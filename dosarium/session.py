@@ -68,6 +68,11 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` over as many tasks as the session shuffles to: for few rows that cost much each, which would else be put into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once, for clusters that do not have it on their path."""
     sc = spark.sparkContext
