@@ -27,10 +27,12 @@ from ..session import materialise
 from .confusables import consistent
 
 LEAST_SUFFIX = 4
-#: Words and names longer than this are keyed by their first and last END letters, one of which a slip leaves as it is.
-LONG, END = 100, 50
-#: Spellings that share a key up to which all their pairs are compared; those of larger groups meet one letter apart.
+#: Words of this many letters and more are keyed by their letters whatever the order, and by suffixes no longer than this.
+LONG = 100
+#: Spellings that share a key up to which all their pairs are compared. Those of larger groups meet by finer keys, which keep every pair
+#: that the comparison would take, so the links are the same on either side.
 COMMON = 60
+_VALUE = 1 << 36
 
 # Forms of address and titles.
 TITLES = frozenset("dr prof ing av avocat dl dna d na domnul doamna mr mrs ms miss herr frau m mme mlle sr sra lect conf arh ec jr sir dipl phd drd".split()) - {"d", "na", "m"}
@@ -94,7 +96,7 @@ def read_udf(values: pd.Series, persons: pd.Series) -> pd.DataFrame:
 
 
 def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
+    """Length of the longest common subsequence; where words differ in long stretches, only whether it lacks one letter is worked out."""
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -105,9 +107,14 @@ def common_length(a: str, b: str) -> int:
 
 
 def _common_middle(a: str, b: str) -> int:
-    """What equal starts and ends leave. Long middles are far apart whatever they hold; their lengths give a lower bound."""
-    if not a or not b or max(len(a), len(b)) > 5 * LONG:
+    """What equal starts and ends leave."""
+    if not a or not b:
         return 0
+    # Both ends differ here, so texts of one length lack a letter at least; they lack just one if it left one end and another came in at the other.
+    if len(a) == len(b) and (a[1:] == b[:-1] or a[:-1] == b[1:]):
+        return len(a) - 1
+    if max(len(a), len(b)) > 5 * LONG:
+        return 0  # two letters are lacking at least, how many does not matter
     row = [0] * (len(b) + 1)
     for x in a:
         before = 0
@@ -179,12 +186,13 @@ def stands_for_udf(words: pd.Series, hints: pd.Series, form: pd.Series, full: pd
 
 
 def suffix_keys(names: DataFrame) -> DataFrame:
-    """(kind, id, key, whole): every suffix of every word as ``key``; ``whole`` tells that it is the word itself."""
+    """(kind, id, key, whole): the suffixes of every word as ``key``; ``whole`` tells that it is the word itself."""
     word = names.select("kind", "id", F.explode("words").alias("word"))
     size = F.length("word")
-    suffix = F.explode(F.when(size > LONG, _ends("word")).when(size >= LEAST_SUFFIX, F.transform(F.sequence(F.lit(1), size - LEAST_SUFFIX + 1), lambda i: F.substring(F.col("word"), i, size))).otherwise(F.array("word")))
-    keyed = word.select("kind", "id", "word", suffix.alias("key"))
-    return keyed.select("kind", "id", "key", ((F.col("word") == F.col("key")) | (F.length("word") > LONG)).alias("whole")).distinct()
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), size - LONG + 1), size - LEAST_SUFFIX + 1), lambda i: F.substring(F.col("word"), i, F.lit(LONG)))
+    whole = F.when(size > LONG, F.concat(F.lit("#"), F.xxhash64("word").cast("string"))).otherwise(F.col("word"))
+    keyed = word.select("kind", "id", whole.alias("whole"), F.explode(F.when(size >= LEAST_SUFFIX, F.array_append(suffixes, whole)).otherwise(F.array(whole))).alias("key"))
+    return keyed.select("kind", "id", "key", (F.col("whole") == F.col("key")).alias("whole")).distinct()
 
 
 def candidate_pairs(names: DataFrame) -> DataFrame:
@@ -201,7 +209,7 @@ def candidate_pairs(names: DataFrame) -> DataFrame:
     # Common suffixes are discarded; the whole word keeps every pair that a shorter suffix would give. Words one slip apart are
     # equal once the right letter is taken from one or both, so such a key is shared by no more names than there are letters to put in its place.
     large = keys.where("whole").join(sizes.where(F.col("n") > COMMON).select("kind", "key"), ["kind", "key"]).select("id").distinct().join(names.select("id", "kind", "words"), "id")
-    value = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 36))
+    value = lambda w: F.pmod(F.xxhash64(w), F.lit(_VALUE))
     total = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + value(w))
     word = large.select("id", "kind", total.alias("total"), F.explode(F.array_distinct("words")).alias("word"))
     less = word.select("id", "kind", (F.col("total") - value(F.col("word"))).alias("rest"), F.explode(_less(F.col("word"))).alias("t"))
@@ -260,14 +268,14 @@ def link_spellings(values: DataFrame) -> DataFrame:
 
 
 def _less(text: F.Column) -> F.Column:
-    """The text, and the text without each of its letters: texts one slip apart share one of these."""
-    without = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
-    return F.when(F.length(text) > LONG, _ends(text)).otherwise(F.array_distinct(F.concat(without, F.array(text))))
-
-
-def _ends(text: F.Column | str) -> F.Column:
-    """The first and the last letters of a long text."""
-    return F.array(F.concat(F.lit("<"), F.substring(text, 1, END)), F.concat(F.lit(">"), F.reverse(F.substring(F.reverse(text), 1, END))))
+    """The text, and the text without each of its letters: texts one slip apart share one of these. Of long texts the sums of their letters'
+    values, which texts that share one of these have in common too; texts of just ``LONG`` letters have both."""
+    without = F.array_distinct(F.array_append(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))), text))
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    worth = lambda c: F.pmod(F.xxhash64(c), F.lit(_VALUE))
+    total = F.aggregate(letters, F.lit(0).cast("long"), lambda s, c: s + worth(c))
+    sums = F.transform(F.array_append(F.transform(F.array_distinct(letters), lambda c: total - worth(c)), total), lambda n: F.concat(F.lit("#"), n.cast("string")))
+    return F.when(F.length(text) < LONG, without).when(F.length(text) == LONG, F.concat(without, sums)).otherwise(sums)
 
 
 def _first_keys(usual: DataFrame) -> DataFrame:
