@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import materialise, spread
 from .confusables import consistent
 
 #: Terms of the list in one broadcast part of the dictionary.
@@ -390,7 +390,7 @@ def map_values(values: DataFrame, entries: DataFrame | list[tuple[int, str, int]
         entries = values.sparkSession.createDataFrame(entries, "key long, term string, n long")
     values = values.drop("type_id")
     bare = F.lower(F.regexp_replace("value", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
-    asked = values.select("value").where((bare != "") & ~bare.isin(*ignored)).distinct()
+    asked = spread(values.select("value").where((bare != "") & ~bare.isin(*ignored)).distinct(), "value")
     size = entries.count()
     if not size:
         mapped = asked.select("value", F.lit(-1).cast("long").alias("type_id"))

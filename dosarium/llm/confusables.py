@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import materialise, spread
 
 # Letters of other alphabets and the Latin letters they look like.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜаеѕіјорсухһԁԛԝүгвкмнт", "ABESIJKMHOPCTYXYQWaesijopcyxhdqwyrBKMHT"))
@@ -217,7 +217,7 @@ def lookalike_groups(values: DataFrame, column: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([(lookalikes.skeleton(v), *lookalikes.read(v)) for v in batch], columns=_FORMS.names)
 
-    distinct = values.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    distinct = spread(values.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct(), "value")
     read = materialise(distinct.withColumn("f", forms("value")).select("value", "f.skeleton", "f.form", "f.mixed"), "forms")  # once, though read twice
     groups = read.groupBy("skeleton").agg(F.count("*").alias("originals"))
     return read.join(groups, "skeleton").select("value", "skeleton", "form", ((F.col("form") != F.col("value")) | F.col("mixed")).alias("changed"), "originals")
