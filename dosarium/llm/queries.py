@@ -20,7 +20,7 @@ def p2_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, rec_id, text, residue): every name and template with what its most telling window is."""
     sources = (("quarantine", "id", "ai_proposed_name", False), ("decisions", "decision_id", "suggested_name", False), ("saved_rules", "id", "naming_template", True))
     parts = [table(spark, sf_dir, t).select(F.lit(t).alias("src"), F.col(k).alias("rec_id"), F.col(c).alias("text"), F.lit(m).alias("template")) for t, k, c, m in sources]
-    natural = table(spark, sf_dir, "entities").select(F.col("value").alias("text"))
+    natural = table(spark, sf_dir, "entities").select(F.col("value").alias("text")).unionByName(table(spark, sf_dir, "documents").select("text"))
     for t in ("quarantine", "decisions"):
         natural = natural.unionByName(table(spark, sf_dir, t).select(F.col("original_path").alias("text")))
     return residue.find_residue(parts[0].unionByName(parts[1]).unionByName(parts[2]), natural, "text", "template").drop("template")

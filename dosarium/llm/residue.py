@@ -1,19 +1,23 @@
 """Names and templates that hold placeholders, filler, error messages or script notices.
 
 Character n-gram models of placeholders, of filler, of error and script notices
-and of natural names are fitted; in each text the window with the greatest
+and of natural text are fitted; in each text the window with the greatest
 likelihood ratio of each residue model to the natural one is found, and the text
 is excluded by the window's ratio and by how much of the text it covers.
 
 The residue models are fitted on phrases made from the lists below (a bounded
 sample, all of it in this module). The natural model is fitted on the n-grams of
-all texts that the caller gives as natural, and on titles about errors, scripts
-and templates made from the lists below, so that real documents about these are
-not taken for them.
+all texts that the caller gives as natural, prose among them, and on a small
+sample of ordinary titles about errors, scripts and templates, so that real
+documents about these are not taken for them.
+
+The natural model that is sent to the workers holds the ``MOST_GRAMS`` commonest
+n-grams; the counts of rarer ones go to their last characters, so that nothing
+is left out of the shorter contexts.
 
 Defined results: null, empty and blank texts hold no residue; long texts are
 read whole; ties between windows go to the first; repeated rows give repeated
-rows; extra columns are kept as they are.
+rows; extra columns are kept as they are, but for ``residue``, which is replaced.
 """
 
 from __future__ import annotations
@@ -25,25 +29,34 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise, spread
 from .confusables import consistent
 
 ORDER = 4
+#: N-grams of the natural model that are sent to the workers as they are.
+MOST_GRAMS = 200_000
+#: N-grams that a worker remembers the ratios of; emptied when full.
+KNOWN_GRAMS = 300_000
+#: Weight of the natural texts against the sample of titles.
+NATURAL_WEIGHT = 4.0
 KINDS = ("placeholder", "empty", "stub", "filler", "notice")
-#: Least log likelihood ratio of a window, by kind.
-LEAST_SCORE = {"placeholder": 5.5, "empty": 5.8, "stub": 5.0, "filler": 8.0, "notice": 8.0}
-#: Least ratio of a placeholder whose brackets or signs bring at least MARKED of it.
-MARKED, LEAST_MARKED = 2.0, 3.7
+#: Least log likelihood ratio of a window, by kind, where it covers at least the share below of the text's letters.
+LEAST_SCORE = {"placeholder": 8.0, "empty": 5.5, "stub": 5.0, "filler": 8.0, "notice": 8.0}
+LEAST_COVER = {"placeholder": 0.0, "empty": 0.8, "stub": 0.45, "filler": 0.3, "notice": 0.6}
+#: Least ratio of a window, by kind, whatever it covers.
+CERTAIN = {"placeholder": 8.0, "empty": 8.2, "stub": 20.0, "filler": 16.0, "notice": 14.0}
+#: Least ratios of placeholders and empty values whose brackets or signs bring at least the part named first.
+MARKED = {"placeholder": ((2.0, 3.7), (0.5, 5.5)), "empty": ((2.0, 3.2),)}
 #: Least part of a window's ratio that its letters must bring.
 LEAST_SPOKEN = -0.5
 #: Least likelihood of a character under the natural alternative, which holds words that no model knows, such as invented names.
 UNKNOWN = {"letter": 1 / 20, " ": 1 / 12, "0": 1 / 8, "other": 1 / 200}
-#: Least share of the text's letters that the window covers, by kind; placeholders count wherever they stand.
-LEAST_COVER = {"placeholder": 0.0, "empty": 0.0, "stub": 0.45, "filler": 0.3, "notice": 0.3}
 
 # Fields that unfinished templates name.
 FIELDS = """titlu|title|titel|titre|titulo|nume|name|nom|nombre|nachname|vorname|prenume|prenom|autor|author|auteur|beneficiar|beneficiary|client|nume client|client name|clientname|
@@ -82,13 +95,12 @@ THEN_RO = "|pentru a continua|pentru a vedea pagina|pentru a vedea fisierul|in b
 NOTICES = """javascript is required|javascript is disabled|javascript is not enabled|javascript must be enabled|scripts are disabled|scripts are required|your browser does not run scripts|your browser does not support javascript|this site requires javascript|this page needs javascript|noscript scripturile sunt dezactivate|noscript|
 scripturile trebuie pornite pentru acest site|scripturile sunt dezactivate|javascript este dezactivat|este nevoie de javascript|browserul nu ruleaza scripturi|acest site necesita javascript|
 bitte javascript aktivieren|bitte aktivieren sie javascript|javascript ist deaktiviert|javascript wird benotigt|veuillez activer javascript|javascript est desactive|activez javascript|javascript est requis|por favor active javascript|active javascript para continuar|javascript esta desactivado|se requiere javascript""".replace("\n", "").split("|")
-# What real titles that touch on these things are made of.
-TITLE_KINDS = "raport|raportul|ghid|manual|manualul|tabel|analiza|atelier|exercitii|poster|afis|studiu|curs|cursul|eroare calcul|nota|plan|proces verbal|lista|formular|formularul|template|sablon|test grila|script teatru|fisa|proiect|tema|articol|prezentare|report on|guide to|handbook|workshop|notes on|introduction to|leitfaden|bericht uber|rapport sur|guia de|study|analysis of|checklist|tutorial".split("|")
-TOPICS = """erori 000 site intern|timeout conexiuni depozit|pagini negasite arhiva|placeholder kanban explicat|format data zz si ll|javascript incepatori|javascript curs|cookies si confidentialitate|server intern rack|valori lipsa nan in excel|calcul salarii nota|null gravity|null absolut|scripturi bash|cv simplu|
-factura noua|model contract|grila admitere|incinta 000|acces parcare interzis|duplicat|semnat|model b|scris de mana|erori de transcriere|coduri de eroare|pagini lipsa|server de fisiere|acces in cladire|cereri de concediu|servicii postale|sesiune de examene|gaz si timp|error handling|error codes|scripts for theatre|script de film|
-missing pages|lost and found|server room|test results|test de sange|test auto|sample preparation|text normalisation|browser history|access road|null hypothesis|date formats|template design|placeholder art|timeouts in sport|gateway drugs|service manual|request for proposal|bad weather|connection plan|file formats|raspuns la cerere""".replace("\n", "").split("|")
-PLAIN = """factura|chitanta|contract|aviz|oferta|notificare|diploma|adeverinta|cerere concediu|fluturas|notite|curs|termodinamica|microeconomie|lingvistica generala|drept civil|algebra liniara|istoria artei|chimie organica|anatomie|statistica aplicata|retele neuronale|energie|farmacie|transport|asigurari|consulting|logistic|distributie|constructii|mobilier|software|telecom|papetarie|
-pisica pe raft|apus peste lac|tort de ziua mamei|masa de birou|tabla cu formule|poarta veche|strada ploioasa|copac inflorit|rafturi cu dosare|cutii in depozit|schita pe servetel|bon pe masa|contract munca|cap|nr|copie|copy|scan|document|dosar|arhiva|model|invoice|receipt|report|letter|photo|summary|meeting|budget|holiday|family|house|garden|uber strassenbau|rechnung|brief|foto|rapport|lettre|carta|informe""".replace("\n", "").split("|")
+# Ordinary words that residue has too, the kinds of documents that they stand in, and what may go with them.
+TITLE_KINDS = "raport|ghid|manual|tabel|analiza|atelier|exercitii|poster|afis|studiu|curs|nota|plan|proces verbal|lista|formular|sablon|test|fisa|proiect|tema|articol|prezentare|report on|guide to|handbook|workshop|notes on|introduction to|leitfaden|bericht uber|rapport sur|guia de|study|analysis of|checklist|tutorial".split("|")
+ORDINARY = """javascript|java script|js|script|scripts|scripturi|server|errors|erori|timeouts|timeout|null|nan|none|undefined|placeholder|template|templates|sablon|test|teste|acces|page|pages|pagina|pagini|
+cookies|browser|exemplu|sample|text|texte|filler|missing|lipsa|valori lipsa|format|date format|data|draft|title|name|nume|titlu|insert""".replace("\n", "").split("|")
+COMPLEMENTS = "incepatori|avansati|explicat|intern|extern|lunar|anual|arhiva|retea|birou|nou|noua|vechi|semnat|cladire|laborator|fizica|istorie|muzica|teatru|film|auto|medical|grila|calcul|statistica|in practica|si solutii|pentru studenti|de referinta|for beginners|in practice|and solutions|basics|design|history|rooms|fur anfanger|grundlagen|pour debutants|para principiantes".split("|")
+PLAIN = """factura|chitanta|contract|aviz|oferta|notificare|diploma|adeverinta|notite|curs|cap|nr|copie|copy|scan|document|dosar|arhiva|model|invoice|receipt|report|letter|photo|summary|meeting|budget|holiday|family|house|garden|uber strassenbau|rechnung|brief|foto|rapport|lettre|carta|informe""".split("|")
 
 # Ordinary remarks in brackets.
 BRACKETED = "semnat|duplicat|model b|model a|model c|final|copie|copy|1|2|3|00|scan|original|draft|vechi|nou|urgent|confidential|signed|revizuit|anexa 1|partea 2|ro|en|de|color|alb negru|varianta 2|v2".split("|")
@@ -103,7 +115,7 @@ def read(text: str) -> str:
     """Lower case without accents; digits as 0; single separators as blanks, unusual underlines kept; other alphabets as one letter."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", consistent(text) or "") if not unicodedata.combining(c)).lower()
     plain = re.sub(r"\.(?:pdf|docx?|xlsx?|txt|csv|md|jpe?g|png|bmp|tiff?|gif|webp|odt|rtf)$", "", plain.strip())
-    plain = re.sub(r"(?<=[^\W_])_(?=[^\W_])", " ", plain)
+    plain = re.sub(r"(?<=[^\W_])_(?=[^\W_])", " ", re.sub(r"_[-–]_", " ", plain))
     plain = re.sub(r"[\s\-–]+", " ", re.sub(r"\d+", lambda m: "0" * min(len(m[0]), 6), plain))
     return " " + "".join(c if ord(c) < 128 else "\x7f" for c in plain).strip(" ") + " "
 
@@ -119,8 +131,8 @@ class Model:
     def __init__(self, counts: Iterable[tuple[str, float]]):
         self.next: list[dict[str, dict[str, float]]] = [defaultdict(lambda: defaultdict(float)) for _ in range(ORDER)]
         for gram, n in counts:
-            for k in range(ORDER):
-                self.next[k][gram[ORDER - 1 - k : ORDER - 1]][gram[-1]] += n
+            for k in range(len(gram)):  # shorter ones tell of short contexts only
+                self.next[k][gram[len(gram) - 1 - k : -1]][gram[-1]] += n
         self.sums = [{c: (sum(d.values()), len(d)) for c, d in level.items()} for level in self.next]
         self.known: dict[str, float] = {}
 
@@ -158,27 +170,60 @@ def residue_phrases() -> dict[str, list[str]]:
 
 
 def natural_phrases() -> list[str]:
-    titles = [f"{k} {t}" for k, t in itertools.product(TITLE_KINDS, TOPICS)] + TOPICS * 8
-    years = [f"{t}_2000" for t in TOPICS] + [f"{p} 2000" for p in PLAIN]
-    bracketed = [f"{p} {a}{t}{b} 2000" for p in PLAIN[:12] for t in (*TOPICS, *BRACKETED * 4) for a, b in ("[]", "{}", "()")]
+    titles = [f"{k} {t}{y}" for k, t, y in itertools.product(TITLE_KINDS, ORDINARY, ("", " 0000"))] + [f"{t} {k}{y}" for k, t, y in itertools.product(TITLE_KINDS, ORDINARY, ("", " 0000"))]
+    titles += [f"{t} {c}{y}" for t, c, y in itertools.product(ORDINARY, COMPLEMENTS, ("", " 0000"))] + [f"{k} {t} {c}" for k, t, c in itertools.product(TITLE_KINDS[:12], ORDINARY, COMPLEMENTS)]
+    bracketed = [f"{p} {a}{t}{b} 2000" for p in PLAIN[:12] for t in BRACKETED * 8 for a, b in ("[]", "{}", "()")]
     other = ["\u4e00" * n + " 00000" for n in range(1, 9)] * 40 + [f"{chr(0x4E00) * n} {chr(0x4E00) * m} 00000" for n in range(1, 10) for m in range(1, 10)] * 10
-    return bracketed + other + titles + years + PLAIN * 20 + [f"{a} {b} 2000 00000" for a, b in itertools.product(PLAIN, PLAIN)]
+    return bracketed + other + titles + PLAIN * 20 + [f"{a} {b} 2000 00000" for a, b in itertools.product(PLAIN, PLAIN)]
+
 
+def _folded() -> dict[int, str]:
+    """Letters of the Latin blocks by their plain form, other alphabets as one letter; made by rule."""
+    out = {}
+    for code in range(0x80, 0x3000):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code).lower()) if not unicodedata.combining(c))
+        out[code] = plain if plain.isascii() and (plain or unicodedata.combining(chr(code))) else "\x7f"
+    return out | {ord("_"): " ", ord("/"): " ", ord("\\"): " ", ord("-"): " "}
 
-def fold_column(text: Column) -> Column:
-    """``read`` for the fitting of the natural model, near enough and within the JVM."""
-    plain = F.lower(F.regexp_replace(text, r"\.[A-Za-z0-9]{2,4}$", ""))
-    plain = F.translate(plain, "ăâîșşțţäöüéèêëáàíóôúûñç", "aaisstta" + "oueeeeaaioouunc")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"[\s_\-/\\]+", " "), r"\d", "0")
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, r"[^\x20-\x7e]", "\x7f")), F.lit(" "))
+
+def fold_prose(text: str, table: dict[int, str]) -> str:
+    """``read`` for long natural texts, near enough and fast."""
+    plain = re.sub(r"\s+", " ", re.sub(r"\d", "0", text.lower().translate(table)))
+    return " " + re.sub(r"[^\x20-\x7e]", "\x7f", plain).strip() + " "
 
 
 def natural_grams(texts: DataFrame) -> list[tuple[str, int]]:
-    """Counts of all n-grams of the column ``text``. At most 97 to the power of 4 different ones, in practice some ten thousands."""
-    padded = F.concat(F.lit("\x02" * (ORDER - 1)), fold_column(F.col("text")))
-    found = texts.where(F.length(F.trim("text")) > 0).groupBy("text").agg(F.count("*").alias("n"))
-    each = found.select("n", padded.alias("p")).select("n", F.explode(F.expr(f"transform(sequence(1, length(p) - {ORDER - 1}), i -> substring(p, i, {ORDER}))")).alias("g"))
-    return [(r["g"], r["n"]) for r in each.groupBy("g").agg(F.sum("n").alias("n")).collect()]
+    """Counts of all n-grams of the column ``text``; of those beyond the ``MOST_GRAMS`` commonest, the counts of their last characters."""
+    powers = 128 ** np.arange(ORDER - 1, -1, -1)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, held = _folded(), pd.Series(dtype="int64")
+        for batch in batches:
+            padded = "".join("\x02" * (ORDER - 1) + fold_prose(t, table) for t in batch["text"] if t and t.strip())
+            codes = np.frombuffer(padded.encode("latin-1"), dtype=np.uint8).astype(np.int64)
+            if len(codes) < ORDER:
+                continue
+            grams_here = np.lib.stride_tricks.sliding_window_view(codes, ORDER) @ powers
+            keys, n = np.unique(grams_here[codes[ORDER - 1 :] != 2], return_counts=True)
+            held = held.add(pd.Series(n, index=keys), fill_value=0)
+            if len(held) > 1_000_000:
+                yield pd.DataFrame({"gram": held.index.astype("int64"), "n": held.to_numpy().astype("int64")})
+                held = pd.Series(dtype="int64")
+        yield pd.DataFrame({"gram": held.index.astype("int64"), "n": held.to_numpy().astype("int64")})
+
+    counts = materialise(texts.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+
+    def letters(code: int, size: int) -> str:
+        return "".join(chr(code >> 7 * k & 127) for k in range(size - 1, -1, -1))
+
+    common = counts.orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).collect()
+    out = [(letters(r["gram"], ORDER), r["n"]) for r in common]
+    if len(common) == MOST_GRAMS:
+        last = common[-1]
+        rest = counts.where((F.col("n") < last["n"]) | (F.col("n") == last["n"]) & (F.col("gram") > last["gram"]))
+        shorter = rest.groupBy((F.col("gram") % 128**2).alias("gram")).agg(F.sum("n").alias("n")).collect()  # at most 128 * 128
+        out += [(letters(r["gram"], 2), r["n"]) for r in shorter]
+    return out
 
 
 class Finder:
@@ -186,28 +231,41 @@ class Finder:
         total = sum(n for _, n in natural) or 1
         counts = _count(natural_phrases())
         own = sum(counts.values())
-        for g, n in natural:  # the texts weigh as much as the phrases
-            counts[g] += n * own / total
+        for g, n in natural:
+            counts[g] += NATURAL_WEIGHT * n * own / total
         self.natural = Model(counts.items())
         self.models = {k: Model(_count(p).items()) for k, p in residue_phrases().items()}
+        self.known: dict[str, list[float]] = {}
+
+    def ratios(self, gram: str) -> list[float]:
+        """The log likelihood ratios of a character by kind, then again what counts as letters, then as signs."""
+        found = self.known.get(gram)
+        if found is None:
+            last = gram[-1]
+            if "\x7f" in gram:  # letters of other alphabets tell nothing
+                own = [0.0] * len(KINDS)
+            else:
+                base = max(self.natural.log(gram), math.log(UNKNOWN["letter" if last.isalpha() else last if last in UNKNOWN else "other"]))
+                own = [self.models[k].log(gram) - base for k in KINDS]
+            zero = [0.0] * len(KINDS)
+            found = own + (own if last.isalpha() else zero) + (zero if last.isalnum() or last == " " else own)
+            if len(self.known) >= KNOWN_GRAMS:
+                self.known.clear()
+            self.known[gram] = found
+        return found
 
     def windows(self, text: str) -> dict[str, tuple[float, int, int, float, float]]:
         """By kind: the greatest summed log likelihood ratio of any window, the window, and the parts of the sum due to letters and to signs."""
-        all_grams = list(grams(text))
-        base = [max(self.natural.log(g), math.log(UNKNOWN["letter" if g[-1].isalpha() else g[-1] if g[-1] in UNKNOWN else "other"])) for g in all_grams]
+        padded = "\x02" * (ORDER - 1) + text
+        sums = np.zeros((len(text) + 1, 3 * len(KINDS)))
+        np.cumsum([self.ratios(padded[i : i + ORDER]) for i in range(len(text))], axis=0, out=sums[1:])
+        own = sums[:, : len(KINDS)]
+        ends = np.argmax(own - np.minimum.accumulate(own, axis=0), axis=0)
         out = {}
-        for kind, model in self.models.items():
-            best, run, start, spoken, marks = (0.0, 0, 0, 0.0, 0.0), 0.0, 0, 0.0, 0.0
-            for i, g in enumerate(all_grams):
-                if run <= 0:
-                    run, start, spoken, marks = 0.0, i, 0.0, 0.0
-                ratio = model.log(g) - base[i] if "\x7f" not in g else 0.0  # letters of other alphabets tell nothing
-                run += ratio
-                spoken += ratio if g[-1].isalpha() else 0.0
-                marks += ratio if not (g[-1].isalnum() or g[-1] == " ") else 0.0
-                if run > best[0]:
-                    best = (run, start, i + 1, spoken, marks)
-            out[kind] = best
+        for i, (kind, end) in enumerate(zip(KINDS, ends)):
+            start = int(np.argmin(own[: end + 1, i]))
+            score, spoken, marks = (float(sums[end, i + k * len(KINDS)] - sums[start, i + k * len(KINDS)]) for k in range(3))
+            out[kind] = (score, start, int(end), spoken, marks)
         return out
 
     def judge(self, text: str | None, template: bool = False) -> tuple[str | None, float, float]:
@@ -223,8 +281,8 @@ class Finder:
             if spoken < LEAST_SPOKEN:  # brackets alone are no residue; what stands in them must be
                 continue
             cover = sum(c.isalnum() for c in plain[a:b]) / letters
-            least = LEAST_MARKED if kind == "placeholder" and marks >= MARKED else LEAST_SCORE[kind]
-            if score >= least and cover >= LEAST_COVER[kind] and score > answer[1] and text.strip():
+            marked = any(marks >= part and score >= least for part, least in MARKED.get(kind, ()))
+            if (marked or score >= CERTAIN[kind] or score >= LEAST_SCORE[kind] and cover >= LEAST_COVER[kind]) and score > answer[1]:
                 answer = (kind, score, min(cover, 1.0))
         return answer
 
@@ -232,15 +290,32 @@ class Finder:
 RESULT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cover", T.DoubleType())])
 
 
+_BUILT: dict[int, Finder] = {}
+
+
 def find_residue(texts: DataFrame, natural: DataFrame, column: str, template: str | None = None) -> DataFrame:
     """Adds residue (kind, score, cover); kind is null where the text holds none. ``template`` names a boolean column:
-    whether the text is a template. ``natural`` has the column ``text``."""
+    whether the text is a template. ``natural`` has the column ``text``. Each distinct text is judged once."""
+    texts = texts.drop("residue")
+    as_template = F.coalesce(F.col(template), F.lit(False)) if template else F.lit(False)
     sent = texts.sparkSession.sparkContext.broadcast(natural_grams(natural))
 
-    @F.pandas_udf(RESULT)
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        finder = Finder(sent.value)
-        for values, templates in batches:
-            yield pd.DataFrame([finder.judge(v, bool(t)) for v, t in zip(values, templates)], columns=RESULT.names)
-
-    return texts.withColumn("residue", judge(F.col(column), F.col(template) if template else F.lit(False)))
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = None
+        for batch in batches:
+            if finder is None:
+                key = hash(tuple(sent.value))
+                if key not in _BUILT:
+                    _BUILT.clear()
+                    _BUILT[key] = Finder(sent.value)
+                finder = _BUILT[key]
+            found = [finder.judge(v, bool(t)) for v, t in zip(batch["__text"], batch["__template"])]
+            yield batch.assign(**{name: [f[i] for f in found] for i, name in enumerate(RESULT.names)})
+
+    distinct = texts.select(F.col(column).alias("__text"), as_template.alias("__template")).where(F.col("__text").isNotNull()).distinct()
+    distinct = spread(distinct, "__text")
+    judged = materialise(distinct.mapInPandas(judge, T.StructType([T.StructField("__text", T.StringType()), T.StructField("__template", T.BooleanType()), *RESULT.fields])), "judged")
+    judged = judged.select("__text", "__template", F.struct(*RESULT.names).alias("residue"))
+    nothing = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cover"))
+    joined = texts.join(judged, (texts[column] == F.col("__text")) & (as_template == F.col("__template")), "left")
+    return joined.withColumn("residue", F.coalesce("residue", nothing)).drop("__text", "__template")

@@ -130,6 +130,34 @@ def test_held_out_phrases(finder):
     assert sum(finder.judge(f"Aviz {h} 2020.pdf")[0] is not None for h in held) >= 0.9 * len(held)
 
 
+def test_held_out_topics_by_a_model_of_prose(spark):
+    """Titles about errors, scripts and templates that stand in no list, against residue beside names that stand in none either."""
+    prose = ["Raportul lunar al laboratorului se păstrează în arhivă până la sfârșitul anului. Cursul de muzică pentru copii începe la ora opt, iar planul de lucru al echipei se trimite prin poștă.", "The museum keeps letters and maps of the harbour; every summer the students write notes on trade, weather and ships."] * 30
+    natural = residue.natural_grams(spark.createDataFrame([(t,) for t in prose], "text string"))
+    found = residue.Finder(natural)
+    real = ["Manual JavaScript pentru bunici.pdf", "Ghid erori de zidărie.docx", "Poster Null Island.png", "Template invitație nuntă.docx", "Test de limbă germană.pdf", "Atelier script de teatru 2021.pdf", "Pagini lipsă din album.jpg", "Cookies cu ciocolată.jpg", "Acces la garaj 2020.pdf", "Timeout la baschet.png", "Server de tenis.jpg", "Format A4 hârtie.pdf", "Data nașterii lui Eminescu.txt", "Browser de hărți vechi.pdf", "Sample de sol 12.xlsx"]
+    left = ["Muzeul {{autor}} 2020.pdf", "Harta_undefined_undefined.pdf", "Cod eroare 503: serviciu indisponibil.png", "Lorem ipsum dolor sit.docx", "Vă rugăm să activați JavaScript.pdf", "Zandoria - 404 not found.pdf", "[Nume client] contract.docx", "asdf asdf.txt", "Session expired.pdf", "Veuillez activer JavaScript pour continuer.png", "null null null.pdf", "Text exemplu text exemplu.docx", "${title}_2019.pdf", "Internal server error 500.html.pdf", "placeholder name.pdf"]
+    wrong, hit = [n for n in real if found.judge(n)[0]], [n for n in left if found.judge(n)[0]]
+    assert len(hit) >= 0.9 * len(left) and len(hit) >= 0.9 * (len(hit) + len(wrong)), (wrong, set(left) - set(hit))
+
+
+def test_rare_grams_keep_their_short_contexts(spark, monkeypatch):
+    texts = spark.createDataFrame([("abcabcabd",), ("abcabz",), (None,), ("  ",), ("Ăbc\n99",)], "text string")
+    whole = residue.natural_grams(texts)
+    expect = residue._count([])
+    for t in ("abcabcabd", "abcabz", "abc 00"):
+        expect.update(residue.grams(f" {t} "))
+    assert dict(whole) == dict(expect)
+    monkeypatch.setattr(residue, "MOST_GRAMS", 3)
+    cut = residue.natural_grams(texts)
+    for size in (1, 2):
+        sums = [{}, {}]
+        for held, counts in zip(sums, (whole, cut)):
+            for g, n in counts:
+                held[g[-size:]] = held.get(g[-size:], 0) + n
+        assert sums[0] == sums[1]
+
+
 def test_residue_column(spark):
     df = spark.createDataFrame([(1, "{{x}}", "a", False), (2, None, "a", True), (2, None, "a", True)], "id int, text string, kind string, template boolean")
     rows = residue.find_residue(df, df.select(F.lit("natural text").alias("text")), "text", "template").collect()
@@ -251,6 +279,16 @@ def test_slips_beside_a_common_word(spark):
         assert any({a, b} <= g for g in got), (a, b)
 
 
+@pytest.mark.parametrize("size", [10, 58, 59, 60, 61, 300])
+def test_links_do_not_depend_on_how_common_a_word_is(spark, size):
+    rnd = random.Random(size)
+    crowd = [f"mesten {''.join(rnd.choices('bdfgklmnprstvz', k=7))} tolvar" for _ in range(size - 2)]
+    long = "".join(rnd.choices("abcdefghij", k=150))
+    names = [*crowd, "tolvar mesten zorvelescu", "mesten zorvelesci tolvar", f"tolvar {long[1:]}", f"{long[:-1]} tolvar", f"tolvar {long[:100]}", f"tolvar {long[:101]}", f"tolvar {long[:99]}x"]
+    got = groups(spark, [("person", v) for v in names])
+    assert frozenset(names[-7:-5]) in got and frozenset(names[-5:-3]) in got and frozenset(names[-3:]) in got
+
+
 def test_long_values(spark):
     long = "Abcdefghij" * 5_000
     assert groups(spark, [("person", v) for v in (f"Ulrich {long}", f"Ulrich {long[:777]}x{long[778:]}", f"Bogdan {long}", "y" * 100_000)]) == {frozenset([f"Ulrich {long}", f"Ulrich {long[:777]}x{long[778:]}"]), frozenset([f"Bogdan {long}"]), frozenset(["y" * 100_000])}
