@@ -13,6 +13,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Settings that the results depend on or that let Spark re-plan at run time.
@@ -69,8 +70,9 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """``df`` over as many tasks as the session shuffles to: for few rows that cost much each, which would else be put into one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    """``df`` over as many tasks as the session shuffles to: for few rows that cost much each, which would else be put into one task.
+    A hash of the columns, as Spark drops a repartitioning by columns that the rows are partitioned by already."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*columns))
 
 
 def ship_package(spark: SparkSession) -> None:
