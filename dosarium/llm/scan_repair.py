@@ -9,10 +9,14 @@ the sum of its characters' values, so a confusion of characters shifts it by a
 fixed difference; rare words plus each difference are joined with the frequent
 words, checked letter by letter, and the most frequent variant is the correction.
 
+Misread numbers and dates go the same way by their shape, all digits being one
+sign: the shape plus the differences of its letters that look like digits must
+give a shape that is commoner.
+
 Defined results: null and empty texts have no lines; texts of any length are
-read whole; a repeated id is read as separate texts of one id; ties between
-variants go to the first in code point order; an empty table gives no rows;
-extra columns are not read.
+read whole; different texts of one id are read apart, equal ones once; ties
+between variants go to the first in code point order; an empty table gives no
+rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -41,12 +45,15 @@ SHORTEST = 4
 #: Slips allowed between repeats of a running line, for each of its characters.
 LINE_SLIPS = 0.12
 _VALUE = 1 << 36
-#: Longer lines are no running lines and no page numbers.
-LONGEST_EDGE = 300
+#: Letters that a line which gives only its page's number may have.
+NUMBER_LETTERS = 12
+#: Numbers of a line; a digit within a word is a slip in it.
+_NUMBERS = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
 
 LINE = T.StructType(
     [
         T.StructField("input_id", T.LongType()),
+        T.StructField("text_id", T.LongType()),
         T.StructField("line_no", T.IntegerType()),
         T.StructField("place", T.StringType()),
         T.StructField("line", T.StringType()),
@@ -58,25 +65,34 @@ LINE = T.StructType(
 
 
 def alike(a: str, b: str, most: int) -> bool:
-    """Edit distance of at most ``most``."""
+    """Edit distance of at most ``most``; only places that near one another are compared."""
     if abs(len(a) - len(b)) > most:
         return False
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        row = [i + 1]
-        for j, y in enumerate(b):
-            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
-        if min(row) > most:
+    far = most + 1
+    last = {j: j for j in range(min(len(b), most) + 1)}
+    for i, x in enumerate(a, 1):
+        row = {0: i} if i <= most else {}
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            row[j] = min(last.get(j - 1, far) + (x != b[j - 1]), last.get(j, far) + 1, row.get(j - 1, far) + 1)
+        if min(row.values(), default=far) > most:
             return False
         last = row
-    return last[-1] <= most
+    return last.get(len(b), far) <= most
+
+
+def _bare(line: str) -> str:
+    """The line stripped; in very long ones runs of a sign are one sign."""
+    return line.strip() if len(line) <= 100 else re.sub(r"([\W_])\1+", r"\1", line.strip())[:1000]
 
 
 def page_numbers(lines: list[str], pages: int) -> set[int]:
     """Positions of lines that give only their page's number. One way of writing is chosen: the one that counts furthest."""
     styles: dict[str, list[tuple[int, int]]] = {}
     for i, line in enumerate(lines):
-        m = PAGE_LINE.fullmatch(line.strip()) if len(line) <= LONGEST_EDGE else None
+        # Anything longer than its first 1,000 signs without runs has more in it than a number.
+        if len(line) > NUMBER_LETTERS and sum(map(str.isalpha, line[:1000])) > NUMBER_LETTERS:
+            continue
+        m = PAGE_LINE.fullmatch(_bare(line))
         if m and int(m[1]) <= pages and int(m[1]) > 0 and (m[2] is None or int(m[2]) == pages):
             styles.setdefault(re.sub(r"\d+", "9", line.strip().lower()), []).append((i, int(m[1])))
     best: list[int] = []
@@ -99,8 +115,8 @@ def _alike_groups(plain: dict[int, str], lines: list[str], pages: int) -> list[l
     in sentences and headings that come again they differ."""
     texts: dict[tuple[str, tuple[str, ...]], list[int]] = {}
     for i, text in plain.items():
-        if 4 <= len(text) <= LONGEST_EDGE:
-            texts.setdefault((text, tuple(re.findall(r"\d+", lines[i]))), []).append(i)
+        if len(text) >= 4:
+            texts.setdefault((text, tuple(_NUMBERS.findall(lines[i]))), []).append(i)
     keys = sorted(texts, key=lambda k: len(k[0]))
     sizes = np.array([len(k[0]) for k in keys])
     counts = np.zeros((len(keys), 32), dtype=np.int16)
@@ -129,7 +145,7 @@ def _alike_groups(plain: dict[int, str], lines: list[str], pages: int) -> list[l
 
 def _counts_up(group: list[int], lines: list[str], pages: int) -> bool:
     """Numbers that differ within the group grow from line to line, as those of pages do. A number with a slip in it is passed over."""
-    read = [[int(x) for x in re.findall(r"\d+", lines[i])] for i in group]
+    read = [[int(x) for x in _NUMBERS.findall(lines[i])] for i in group]
     usual = Counter(map(len, read)).most_common(1)[0][0]
     for column in zip(*(r for r in read if len(r) == usual)):
         if len(set(column)) > 1 and any(x >= y for x, y in zip(column, column[1:])):
@@ -151,6 +167,12 @@ def _page_edges(order: list[int], length: int, pages: int, taken: set[int]) -> l
     return out
 
 
+def _smudged(a: str, b: str) -> bool:
+    """Alike but for three tenths of their characters; compared by these characters' counts first, which tell most lines apart."""
+    most = len(b) * 3 // 10
+    return abs(len(a) - len(b)) <= most and sum(((Counter(a) - Counter(b)) + (Counter(b) - Counter(a))).values()) <= 2 * most and alike(a, b, most)
+
+
 def running_lines(lines: list[str], pages: int, taken: set[int]) -> set[int]:
     """Positions of running headers and footers: lines alike about once a page, or two by turns, that stand where pages begin or end.
 
@@ -196,11 +218,12 @@ def running_lines(lines: list[str], pages: int, taken: set[int]) -> set[int]:
     if 2 < len(out) < pages:
         for near in edges:
             if out <= near:
-                left = [i for i in sorted(near - out) if 4 <= len(plain.get(i, "")) <= LONGEST_EDGE and any(alike(plain[i], plain[j], len(plain[j]) * 3 // 10) for j in out)]
+                left = [i for i in sorted(near - out) if len(plain.get(i, "")) >= 4 and any(_smudged(plain[i], plain[j]) for j in out)]
                 if left:
                     out.add(left[0])
                     break
-    return out
+    # What makes up most of a text is its content.
+    return out if 2 * sum(len(lines[i]) for i in out) <= sum(map(len, lines)) else set()
 
 
 def read_lines(text: str, pages: int) -> list[tuple[int, str, str, str | None, str | None, bool]]:
@@ -232,15 +255,15 @@ def document_lines(docs: DataFrame, key: str, column: str, pages: str) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, text, n in batch.itertuples(index=False):
+            for k, text_id, text, n in batch.itertuples(index=False):
                 if text:
-                    rows += [(k, *line) for line in read_lines(text, int(n) if n == n and n is not None else 1)]
+                    rows += [(k, text_id, *line) for line in read_lines(text, int(n) if n == n and n is not None else 1)]
                     if len(rows) > 100_000:
                         yield pd.DataFrame(rows, columns=LINE.names)
                         rows = []
             yield pd.DataFrame(rows, columns=LINE.names)
 
-    picked = docs.select(F.col(key).cast("long").alias("k"), F.col(column).alias("t"), F.coalesce(F.col(pages), F.lit(1)).alias("n"))
+    picked = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(column).alias("h"), F.col(column).alias("t"), F.coalesce(F.col(pages), F.lit(1)).alias("n"))
     return materialise(picked.mapInPandas(run, LINE), "lines")
 
 
@@ -256,36 +279,39 @@ def _unbroken() -> Column:
 
 
 def line_words(lines: DataFrame) -> DataFrame:
-    """(input_id, line_no, word): the words of the body, without the parts of broken words."""
+    """(input_id, text_id, line_no, word): the words of the body, without the parts of broken words."""
     body = lines.where("place = 'body'")
-    return body.select("input_id", "line_no", F.explode(F.regexp_extract_all(_unbroken(), F.lit(r"[\p{L}\p{N}|!]*[\p{L}\p{N}][\p{L}\p{N}|]*"), F.lit(0))).alias("word"))
+    return body.select("input_id", "text_id", "line_no", F.explode(F.regexp_extract_all(_unbroken(), F.lit(r"[\p{L}\p{N}|!]*[\p{L}\p{N}][\p{L}\p{N}|]*"), F.lit(0))).alias("word"))
 
 
 def vocabulary(lines: DataFrame) -> DataFrame:
     """(word, n): lower-case words of the body, hyphenated ones whole and in parts, broken ones not."""
     body = lines.where("place = 'body'").select(F.lower(_unbroken()).alias("line"))
-    single = body.select(F.explode(F.regexp_extract_all("line", F.lit(r"[\p{L}\p{N}|]+"), F.lit(0))).alias("word"))
+    single = body.select(F.explode(F.regexp_extract_all("line", F.lit(r"[\p{L}\p{N}|!]*[\p{L}\p{N}][\p{L}\p{N}|]*"), F.lit(0))).alias("word"))
     double = body.select(F.explode(F.regexp_extract_all("line", F.lit(r"(?<!\p{L})\p{L}{1,60}+-\p{L}{1,60}"), F.lit(0))).alias("word"))
     return single.unionByName(double).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def broken_words(lines: DataFrame, words: DataFrame) -> DataFrame:
-    """(input_id, line_no, head, tail): breaks whose sign is no part of the word: the corpus has the joined word at least as often as the hyphenated one."""
-    cut = lines.where("head is not null").select("input_id", "line_no", "head", "tail", F.lower(F.concat("head", "tail")).alias("joined"), F.lower(F.concat("head", F.lit("-"), "tail")).alias("compound"))
+    """(input_id, text_id, line_no, head, tail): breaks whose sign is no part of the word: the corpus has the joined word at least as often as the hyphenated one."""
+    cut = lines.where("head is not null").select("input_id", "text_id", "line_no", "head", "tail", F.lower(F.concat("head", "tail")).alias("joined"), F.lower(F.concat("head", F.lit("-"), "tail")).alias("compound"))
     known = cut.join(words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")), "joined", "left").join(words.select(F.col("word").alias("compound"), F.col("n").alias("n_compound")), "compound", "left")
-    return known.where(F.coalesce("n_joined", F.lit(0)) >= F.coalesce("n_compound", F.lit(0))).select("input_id", "line_no", "head", "tail")
+    return known.where(F.coalesce("n_joined", F.lit(0)) >= F.coalesce("n_compound", F.lit(0))).select("input_id", "text_id", "line_no", "head", "tail")
+
+
+def _shifts(pairs: list[tuple[str, str]]) -> Column:
+    """An array of (wrong, true, shift): what a confusion adds to the hash of the word that it is undone in."""
+    return F.array(*[F.struct(F.lit(a).alias("wrong"), F.lit(b).alias("true"), (anagram_hash(F.lit(b)) - anagram_hash(F.lit(a))).alias("shift")) for a, b in pairs])
 
 
 def corrections(words: DataFrame) -> DataFrame:
     """(word, right): misread words with the frequent word that each stands for."""
-    spark = words.sparkSession
-    pairs = spark.createDataFrame(sorted({(a, b) for a, b in CONFUSIONS}), "wrong string, true string")
-    table = F.broadcast(pairs.withColumn("shift", anagram_hash(F.col("true")) - anagram_hash(F.col("wrong"))))  # the list above
     hashed = materialise(words.where(~F.contains("word", F.lit("-"))).withColumn("h", anagram_hash(F.col("word"))), "vocabulary")
     letters = F.col("word").rlike(r"^\p{L}+$")
     good = hashed.where(letters & (F.length("word") >= 2) & (F.col("n") > 1)).select("h", F.col("word").alias("right"), F.col("n").alias("n_right"))
-    odd = F.col("word").rlike(r"\p{L}") & (letters & (F.length("word") >= SHORTEST) | F.col("word").rlike(r"[\p{N}|]") & (F.length("word") >= 2))
-    tried = hashed.where(odd).crossJoin(table).where(F.contains("word", F.col("wrong"))).select("word", "n", "wrong", "true", (F.col("h") + F.col("shift")).alias("h"))
+    odd = F.col("word").rlike(r"\p{L}") & (letters & (F.length("word") >= SHORTEST) | F.col("word").rlike(r"[\p{N}|!]") & (F.length("word") >= 2))
+    held = F.filter(_shifts(sorted({(a, b) for a, b in CONFUSIONS})), lambda c: F.contains(F.col("word"), c["wrong"]))  # those of the list that the word has
+    tried = hashed.where(odd).select("word", "n", "h", F.explode(held).alias("c")).select("word", "n", "c.wrong", "c.true", (F.col("h") + F.col("c.shift")).alias("h"))
     met = tried.join(good, "h").where((F.col("n_right") >= RARER * F.col("n")) & (F.col("right") != F.col("word")))
     # Equal hashes only say that the letters are the same ones; the confusion must also give the word at some place.
     places = F.sequence(F.lit(1), F.length("word") - F.length("wrong") + 1)
@@ -294,17 +320,34 @@ def corrections(words: DataFrame) -> DataFrame:
     return met.where(fits).groupBy("word").agg(F.max(F.struct("n_right", "right")).alias("r")).select("word", F.col("r.right").alias("right"))
 
 
-#: A number or a date with letters that look like digits in it.
+#: A number or a date with letters that look like digits in it, and the digits that these stand for.
 _NUMBER = r"^(?=.*[0-9])(?=.*[OoIlSBZgqDQ|])[0-9OoIlSBZgqDQ|]+$"
+_DIGITS = ("OoIlSBZgqDQ|", "001158299001")
+
+
+def misread_numbers(tokens: DataFrame) -> DataFrame:
+    """(input_id, line_no, word, right): numbers and dates whose shape, the differences of their letters added, is a commoner shape."""
+    digits = r"[0-9]"
+    shaped = tokens.where(F.col("word").rlike(r"^[0-9OoIlSBZgqDQ|]+$") & F.col("word").rlike(digits) & (F.length("word") >= 2)).withColumn("shape", F.regexp_replace("word", digits, "9"))
+    shapes = materialise(shaped.groupBy("shape").agg(F.count("*").alias("n")).withColumn("h", anagram_hash(F.col("shape"))), "shapes")
+    shift = F.aggregate(F.split("shape", ""), F.lit(0).cast("long"), lambda s, c: s + F.coalesce(F.try_element_at(_letter_shifts(), c), F.lit(0).cast("long")))
+    odd = shapes.where(F.col("shape").rlike(r"[^9]")).select("shape", "n", (F.col("h") + shift).alias("h"))
+    plain = shapes.where(F.col("shape").rlike(r"^9+$")).select("h", F.col("n").alias("n_right"))
+    known = odd.join(plain, "h").where("n_right > n").select("shape")
+    return shaped.where(F.col("word").rlike(_NUMBER)).join(known, "shape", "left_semi").select("input_id", "text_id", "line_no", "word", F.translate("word", *_DIGITS).alias("right"))
+
+
+def _letter_shifts() -> Column:
+    """What reading a letter as a digit adds to a shape's hash."""
+    return F.create_map(*[x for c in _DIGITS[0] for x in (F.lit(c), anagram_hash(F.lit("9")) - anagram_hash(F.lit(c)))])
 
 
 def misread_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     """(input_id, line_no, word, right): misread common words, dates and numbers."""
     tokens = line_words(lines).distinct()
     known = corrections(words)
-    common = tokens.withColumn("low", F.lower("word")).join(known.withColumnRenamed("word", "low"), "low").select("input_id", "line_no", "word", "right")
-    numbers = tokens.where(F.col("word").rlike(_NUMBER) & (F.length("word") >= 2)).select("input_id", "line_no", "word", F.translate("word", "OoIlSBZgqDQ|", "001158299001").alias("right"))
-    return common.unionByName(numbers).groupBy("input_id", "line_no", "word").agg(F.min("right").alias("right"))
+    common = tokens.withColumn("low", F.lower("word")).join(known.withColumnRenamed("word", "low"), "low").select("input_id", "text_id", "line_no", "word", "right")
+    return common.unionByName(misread_numbers(tokens)).groupBy("input_id", "text_id", "line_no", "word").agg(F.min("right").alias("right"))
 
 
 def scan_noise(docs: DataFrame, key: str = "input_id", column: str = "document_text", pages: str = "n_pages") -> DataFrame:
@@ -324,17 +367,19 @@ def repair(docs: DataFrame, key: str = "input_id", column: str = "document_text"
     """(input_id, text): every text as paragraphs, one a line: edge lines gone, broken words joined, misread words put right."""
     lines = document_lines(docs, key, column, pages)
     words = materialise(vocabulary(lines), "words")
-    fixes = misread_words(lines, words).groupBy("input_id", "line_no").agg(F.collect_set(F.struct("word", "right")).alias("fixes"))  # at most a line's words
-    joins = broken_words(lines, words).select("input_id", "line_no", F.lit(True).alias("joins"))
-    marked = lines.join(fixes, ["input_id", "line_no"], "left").join(joins, ["input_id", "line_no"], "left").where("place in ('body', 'blank')")
-    rows = marked.groupBy("input_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "place", "line", "fixes", F.coalesce("joins", F.lit(False)).alias("joins")))).alias("lines"))  # one document's lines
+    one = ["input_id", "text_id", "line_no"]
+    fixes = misread_words(lines, words).groupBy(*one).agg(F.collect_set(F.struct("word", "right")).alias("fixes"))  # at most a line's words
+    joins = broken_words(lines, words).select(*one, F.lit(True).alias("joins")).distinct()
+    marked = lines.distinct().join(fixes, one, "left").join(joins, one, "left").where("place in ('body', 'blank')")
+    rows = marked.groupBy("input_id", "text_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "place", "line", "fixes", F.coalesce("joins", F.lit(False)).alias("joins")))).alias("lines"))  # one document's lines
 
     @F.pandas_udf(T.StringType())
     def write(documents: pd.Series) -> pd.Series:
         return documents.map(_write)
 
-    done = rows.select("input_id", write("lines").alias("text"))
-    return docs.select(F.col(key).cast("long").alias("input_id")).distinct().join(done, "input_id", "left").select("input_id", F.coalesce("text", F.lit("")).alias("text"))
+    done = rows.select("input_id", "text_id", write("lines").alias("text"))
+    every = docs.select(F.col(key).cast("long").alias("input_id"), F.xxhash64(column).alias("text_id")).distinct()
+    return every.join(done, ["input_id", "text_id"], "left").select("input_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _write(lines: list[dict]) -> str:
