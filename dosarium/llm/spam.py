@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,6 +43,8 @@ LOW_COHERENCE, CHANCE = 2.5, -2.3
 #: Share of the characters in incoherent stretches above which a document is flagged; a stray sentence fits beside it.
 MOST_INCOHERENT = 0.7
 LEAST_WORDS = 10
+#: Distinct pairs of neighbours up to which all are broadcast, and the most that may be frequent: each of these has a larger share than one in so many.
+BROADCAST_BIGRAMS, MOST_FREQUENT = 500_000, 10_000
 #: Weight of the corpus against the document's own word counts, in words.
 SMOOTHING = 20
 
@@ -57,8 +60,12 @@ OFTEN, MOST_KEYWORDS = 3, 0.8
 
 def _read(line: str) -> list[str]:
     """Words of a line; links, tags, codes and numbers as signs."""
-    plain = _CODE.sub(" §c ", _TAG.sub(" §h ", _LINK.sub(" §u ", line.lower())))
-    return ["§n" if w[0].isdigit() else w for w in _WORD.findall(plain)]
+    plain = line.lower()
+    if "http" in plain or "www." in plain:
+        plain = _LINK.sub(" §u ", plain)
+    if "#" in plain:
+        plain = _TAG.sub(" §h ", plain)
+    return ["§n" if w[0].isdigit() else w for w in _WORD.findall(_CODE.sub(" §c ", plain))]
 
 
 def _no_list(words: list[str], often: Counter) -> bool:
@@ -116,40 +123,62 @@ PAIRS = T.StructType(
 _ARROW = pa.schema([("doc_id", pa.int64()), ("stretch", pa.int32()), ("size", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("words", pa.int32())])
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
-
-    def sign(word: str) -> int:
-        h = known.get(word)
-        if h is None:
-            if len(known) > 500_000:
-                known.clear()
-            h = known[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
+class _Signs(dict):
+    """The hash of each word, remembered; emptied when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
         return h
 
-    cols: list[list] = [[] for _ in PAIRS]
+
+def _pairs(key: int, text: str, signs: _Signs) -> np.ndarray | None:
+    """The rows of one document, a column each; None for very short texts. A row of n = 0 stands for each stretch."""
+    parts = stretches(text)
+    words = [signs[w] for own, _ in parts for w in own]
+    total = len(words)
+    if total < LEAST_WORDS:
+        return None
+    codes = np.array(words, dtype=np.int64)
+    _, inverse, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    lengths = np.array([len(own) for own, _ in parts])
+    sizes = np.array([size for _, size in parts])
+    of = np.repeat(np.arange(len(parts)), lengths)
+    # Neighbours of one stretch that is long enough to tell.
+    here = np.flatnonzero((of[1:] == of[:-1]) & (lengths[of[:-1]] >= 4))
+    # Equal neighbours of a stretch are one row.
+    keyed = (of[here] * len(counts) + inverse[here]) * len(counts) + inverse[here + 1]
+    _, first, n = np.unique(keyed, return_index=True, return_counts=True)
+    at = here[first]
+    rows = np.zeros((8, len(parts) + len(at)), dtype=np.int64)
+    rows[0], rows[7] = key, total
+    rows[1, : len(parts)], rows[2, : len(parts)] = np.arange(len(parts)), sizes
+    rows[1, len(parts) :], rows[2, len(parts) :] = of[at], sizes[of[at]]
+    rows[3, len(parts) :], rows[4, len(parts) :] = codes[at], codes[at + 1]
+    rows[5, len(parts) :], rows[6, len(parts) :] = n, counts[inverse[at + 1]]
+    return rows
+
+
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    signs, held, size = _Signs(), [], 0
+
+    def sent() -> pa.RecordBatch:
+        rows = np.concatenate(held, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(f.type) for c, f in zip(rows, _ARROW)], schema=_ARROW)
+
     for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1)):
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             whole = text.as_py()
-            if not whole:
-                continue
-            parts = stretches(whole)
-            own = Counter(w for words, _ in parts for w in words)
-            total = sum(own.values())
-            if total < LEAST_WORDS:
-                continue
-            key = doc.as_py()
-            for i, (words, size) in enumerate(parts):
-                rows = [(key, i, size, None, None, 0, 0, total)]
-                if len(words) >= 4:
-                    rows += [(key, i, size, sign(a), sign(b), n, own[b], total) for (a, b), n in Counter(zip(words, words[1:])).items()]
-                for col, values in zip(cols, zip(*rows)):
-                    col.extend(values)
-            if len(cols[0]) >= 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
-                cols = [[] for _ in PAIRS]
-    if cols[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
+            rows = _pairs(doc, whole, signs) if whole and doc is not None else None
+            if rows is not None:
+                held.append(rows)
+                size += rows.shape[1]
+            if size >= 200_000:
+                yield sent()
+                held, size = [], 0
+    if held:
+        yield sent()
 
 
 def coherence(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -160,13 +189,25 @@ def coherence(docs: DataFrame, key: str = "doc_id", column: str = "text") -> Dat
     words = counts.groupBy("a").agg(F.sum("c_ab").alias("c"))
     total = counts.agg(F.sum("c_ab").alias("total"))  # one row
     known = counts.join(words.select("a", F.col("c").alias("c_a")), "a").join(words.select(F.col("a").alias("b"), F.col("c").alias("c_b")), "b", "left").crossJoin(F.broadcast(total))
-    follows = known.select("a", "b", F.log(F.col("c_ab") / F.col("c_a")).alias("follows"), (F.coalesce("c_b", F.lit(1)) / F.col("total")).alias("p_b"))
-    scored = pairs.join(follows, ["a", "b"])
+    follows = known.select("a", "b", F.log(F.col("c_ab") / F.col("c_a")).alias("follows"), (F.coalesce("c_b", F.lit(1)) / F.col("total")).alias("p_b"), (F.col("c_ab") * MOST_FREQUENT > F.col("total")).alias("frequent"))
+    scored = _scored(pairs, materialise(follows, "follows"))
     pmi = F.col("follows") - F.log((F.col("own") - 1 + SMOOTHING * F.col("p_b")) / (F.col("words") - 1 + SMOOTHING))
     means = scored.groupBy("doc_id", "stretch").agg((F.sum(pmi * F.col("n")) / F.sum("n")).alias("mean_pmi"), (F.sum(F.col("follows") * F.col("n")) / F.sum("n")).alias("mean_next"))
     return rows.where("n = 0").select("doc_id", "stretch", "size").join(means, ["doc_id", "stretch"], "left")
 
 
+def _scored(pairs: DataFrame, follows: DataFrame) -> DataFrame:
+    """Every pair beside what the corpus knows of it. Few bigrams are broadcast; of more, only the frequent ones, of which there are less
+    than ``MOST_FREQUENT``, so that no key of the shuffle has more than one in ``MOST_FREQUENT`` of all pairs."""
+    if follows.limit(BROADCAST_BIGRAMS + 1).count() <= BROADCAST_BIGRAMS:
+        return pairs.join(F.broadcast(follows), ["a", "b"])
+    frequent = F.broadcast(follows.where("frequent").select("a", "b", F.col("follows").alias("f"), F.col("p_b").alias("p")))
+    marked = pairs.join(frequent, ["a", "b"], "left")
+    hot = marked.where("f is not null").select(*pairs.columns, F.col("f").alias("follows"), F.col("p").alias("p_b"))
+    rest = marked.where("f is null").select(*pairs.columns).join(follows.where("not frequent").select("a", "b", "follows", "p_b"), ["a", "b"])
+    return hot.unionByName(rest)
+
+
 def incoherent_pages(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """(doc_id, share, mean_pmi, spam): the share of characters in incoherent stretches, and whether it makes the page spam."""
     per = coherence(docs, key, column)
