@@ -48,6 +48,11 @@ def mime(path: Column) -> Column:
     return F.when(low == ".png", "image/png").when(low == ".bmp", "image/bmp").otherwise("image/jpeg")
 
 
+def data_url(path: Column, content: Column) -> Column:
+    """An image's bytes as a model takes them."""
+    return F.concat(F.lit("data:"), mime(path), F.lit(";base64,"), F.base64(content))
+
+
 def join(left: Column, right: Column) -> Column:
     """An absolute right side replaces the left; ``.`` and the empty text add nothing."""
     return F.when(right.startswith("/"), right).when(right.isin(".", ""), left).otherwise(F.concat_ws("/", F.regexp_replace(left, "/+$", ""), right))

@@ -95,8 +95,19 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
 
 
 def strip_fences(c: Column) -> Column:
-    """A model's answer without the code fence around it."""
-    return F.regexp_replace(F.regexp_replace(strip(c), r"^```[^\n]*\n", ""), r"\n?```\s*$", "")
+    """A model's answer without the code fence around it, as ``validate.unfence`` reads it; a fence without a line break stays, which no answer has."""
+    bare = strip(c)
+    return F.when(bare.startswith("```") & F.contains(bare, F.lit("\n")), F.regexp_replace(F.regexp_replace(bare, r"^```[^\n]*\n", ""), r"\n?```\s*$", "")).otherwise(bare)
+
+
+def join_paragraphs(parts: Column) -> Column:
+    """The paragraphs that hold text, a line each."""
+    return F.array_join(F.filter(parts, lambda p: strip(p) != ""), "\n")
+
+
+def first_pages(pages: Column, most: int) -> Column:
+    """The text of the first pages, stripped."""
+    return strip(F.array_join(F.slice(pages, 1, most), "\n"))
 
 
 def flatten_payload(parts: Column) -> Column:

@@ -20,6 +20,8 @@ from .text import MOST_SUMMARY
 
 #: Answers asked for again after an invalid one.
 REPAIRS = 2
+# Fixed value: what a refusal for too many calls says.
+TOO_MANY = "429"
 
 ENTITY = T.StructType([T.StructField("field_name", T.StringType()), T.StructField("value", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("reasoning", T.StringType())])
 EXTRACTION = T.StructType(
@@ -39,6 +41,33 @@ def unfence(text: str) -> str:
     return text
 
 
+def rate_limited(message: Column) -> Column:
+    """Whether an error says that there were too many calls."""
+    return F.coalesce(message.contains(TOO_MANY), F.lit(False))
+
+
+def summary_fits(summary: Column) -> Column:
+    return F.length(summary) <= MOST_SUMMARY
+
+
+def retried(call: Callable[[str], str], attempts: int = 3, wait: float = 0.0) -> Callable[[str], str]:
+    """``call``, which is tried ``attempts`` times, ``wait`` seconds apart, where it is refused for too many calls."""
+
+    def run(value: str) -> str:
+        import time
+
+        for i in range(attempts):
+            try:
+                return call(value)
+            except Exception as e:  # noqa: BLE001 - the model is foreign code
+                if TOO_MANY not in str(e) or i == attempts - 1:
+                    raise
+                time.sleep(wait)
+        raise AssertionError
+
+    return run
+
+
 def _text(value: object, field: str) -> str:
     if not isinstance(value, str):
         raise ValueError(f"{field}: not a text")
@@ -126,17 +155,7 @@ def ask(model: Callable[[str], str], prompts: Column, schema: T.StructType, repa
     read = {id(EXTRACTION): read_extraction, id(DECISION): read_decision, id(RULE): read_rule}[id(schema)]
     width, names = len(schema), schema.names
 
-    def call(text: str) -> str:
-        import time
-
-        for i in range(attempts):
-            try:
-                return model(text)
-            except Exception as e:  # noqa: BLE001 - the model is foreign code
-                if "429" not in str(e) or i == attempts - 1:
-                    raise
-                time.sleep(wait)
-        raise AssertionError
+    call = retried(model, attempts, wait)
 
     def one(text: str | None) -> tuple:
         said, error = text or "", ""

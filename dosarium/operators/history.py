@@ -24,9 +24,39 @@ def newest(log: DataFrame, keys: list[str], order: list[str], n: int = MOST_ACTI
 
 
 def last_action(log: DataFrame, order: list[str]) -> DataFrame:
+    """The one row that an undo takes next."""
     return log.orderBy(*[F.desc(c) for c in order]).limit(1)
 
 
+def in_order(log: DataFrame, keys: list[str], order: list[str], n: int = MOST_ACTIONS) -> DataFrame:
+    """The n newest rows of each key with ordinal, from 1, oldest first; no key has more than n rows here."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return newest(log, keys, order, n).withColumn("ordinal", rank)
+
+
+def undo_last(log: DataFrame, keys: list[str], order: list[str], there: str) -> DataFrame:
+    """(keys, order, undone, left) of each key's newest row, which goes whether or not its file is there (boolean column ``there``)."""
+    kept = in_order(log, keys, order)
+    last = F.max(F.struct("ordinal", *order, F.coalesce(there, F.lit(False)).alias("__there"))).alias("l")
+    return kept.groupBy(*keys).agg(last).select(*keys, *[F.col(f"l.{c}").alias(c) for c in order], F.col("l.__there").alias("undone"), (F.col("l.ordinal") - 1).alias("left"))
+
+
+def undo_at(log: DataFrame, asked: DataFrame, keys: list[str], order: list[str], there: str) -> DataFrame:
+    """(keys, index, undone, left) of each row of ``asked`` (keys, index): the row at that place, counted from 0 from the oldest, goes only
+    if its file is there; places outside the list are none."""
+    kept = in_order(log, keys, order).select(*keys, (F.col("ordinal") - 1).alias("index"), F.coalesce(there, F.lit(False)).alias("__there"))
+    sizes = kept.groupBy(*keys).agg(F.count("*").alias("__n"))
+    found = asked.select(*keys, "index").join(sizes, keys, "left").join(kept, [*keys, "index"], "left")
+    undone = F.coalesce("__there", F.lit(False))
+    return found.select(*keys, "index", undone.alias("undone"), (F.coalesce("__n", F.lit(0)) - undone.cast("int")).alias("left"))
+
+
+def with_sources(moves: DataFrame, sources: DataFrame, path: str) -> DataFrame:
+    """Adds found: whether the file to be moved is there."""
+    there = sources.select(F.col("path").alias("__path")).distinct().withColumn("__found", F.lit(True))
+    return moves.join(there, moves[path] == F.col("__path"), "left").withColumn("found", F.coalesce("__found", F.lit(False))).drop("__path", "__found")
+
+
 class MoveLog:
     """At most ``most`` moves, oldest out first."""
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 
-#: Rules are few and typed by hand; more than this many are joined by shuffle, not broadcast.
-BROADCAST_RULES = 10_000
+# Fixed value: what stands for a key that nobody has set.
+PLACEHOLDER_KEY = "your_api_key_here"
 # Naming conventions with a meaning of their own.
 DESCRIPTIVE, ORIGINAL = "descriptive_name_based_on_content", "{original_filename}"
 
@@ -52,16 +52,18 @@ def naming_mode(convention: Column) -> Column:
 
 
 def bypass_decision(files: DataFrame) -> DataFrame:
-    """Adds suggested_name and suggested_folder by the rule alone; needs name, suffix, summary_name, naming_convention, folder_structure.
+    """Adds suggested_name and suggested_folder by the rule alone; needs name, suffix, content, summary_name, naming_convention, folder_structure.
 
-    A descriptive rule takes the name the summary suggests, sanitised and with the file's suffix, or the original name
-    if there is none; other conventions keep the original name.
+    A descriptive rule names an image by its caption, and other files as the summary suggests, with the file's suffix; without
+    either, and under other conventions, the original name is kept. Names are sanitised.
     """
-    wanted = F.col("summary_name")
-    named = F.when(wanted.isNotNull() & (wanted != ""), paths.append_suffix(text.sanitise(wanted), F.col("suffix"))).otherwise(F.col("name"))
-    chosen = F.when(naming_mode(F.col("naming_convention")) == "descriptive", named).otherwise(F.col("name"))
+    wanted, suffix = F.col("summary_name"), F.col("suffix")
+    named = F.when(wanted.isNotNull() & (wanted != ""), paths.append_suffix(wanted, suffix)).otherwise(F.col("name"))
+    caption = F.coalesce(F.col("content").contains(text.MARKER), F.lit(False))
+    described = F.when(caption, text.descriptive_name(F.col("content"), F.col("name"), suffix)).otherwise(named)
+    chosen = F.when(naming_mode(F.col("naming_convention")) == "descriptive", described).otherwise(F.col("name"))
     folder = paths.folder_or_default(F.col("folder_structure"), text.strip(F.col("folder_structure")))
-    return files.withColumns({"suggested_name": chosen, "suggested_folder": folder, "status": F.lit("move")})
+    return files.withColumns({"suggested_name": text.sanitise(chosen), "suggested_folder": folder, "status": F.lit("move")})
 
 
 def route(decisions: DataFrame) -> DataFrame:
@@ -83,8 +85,14 @@ def scan_summary(files: DataFrame, reviewed: DataFrame, outcomes: DataFrame) ->
     return seen.crossJoin(skipped).crossJoin(done)  # one row each
 
 
-def usable_key(key: str | None, placeholder: str = "your_api_key_here") -> bool:
-    return bool(key and key.strip() and key.strip() != placeholder)
+def usable_key(key: Column) -> Column:
+    """Whether a key is set and is not the placeholder."""
+    return F.coalesce(~text.strip(key).isin("", PLACEHOLDER_KEY), F.lit(False))
+
+
+def provider(key: Column) -> Column:
+    """Which kind of model answers: the cloud's where there is a key, else the local one."""
+    return F.when(usable_key(key), "cloud").otherwise("local")
 
 
 def valid_approval(name: Column, folder: Column) -> Column:

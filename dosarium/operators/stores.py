@@ -26,14 +26,45 @@ def fold(log: DataFrame, key: str, fields: list[str], seq: str = "seq", op: str
     return kept.groupBy(key).agg(*values, F.max("added_seq").alias("added_seq"))
 
 
+def numbered(rows: DataFrame, order: list[str], last: int) -> DataFrame:
+    """Adds id: the numbers after ``last``, in ``order``."""
+    from .ranking import ranked
+
+    return ranked(rows, [], order).withColumn("id", F.col("rank") + F.lit(last)).drop("rank")
+
+
+def lookup(current: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Every row of ``asked`` beside the row of its key, with found; texts are compared as they are."""
+    held = current.withColumn("found", F.lit(True)).withColumnRenamed(key, "__key")
+    return asked.join(held, asked[key] == F.col("__key"), "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("__key")
+
+
+def saved(saves: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """The presets after all ``saves``, which have unique ``order``: saving a name again is a delete and an insert, so its id is the last save's number."""
+    return latest_by(numbered(saves, order, 0), name, ["id"])
+
+
+def seeded(rules: DataFrame, default: tuple) -> DataFrame:
+    """The default preset where there is none at all."""
+    empty = rules.agg((F.count("*") == 0).alias("__empty"))  # one row
+    row = rules.sparkSession.createDataFrame([default], rules.schema).crossJoin(empty).where("__empty").drop("__empty")
+    return rules.unionByName(row)
+
+
+def newest_first(rules: DataFrame) -> DataFrame:
+    """Presets in the order in which they are listed."""
+    return rules.orderBy(F.desc("created_at"), F.desc("id"))
+
+
 class LogStore:
-    """One writer; each call appends one row, so what was written is never changed."""
+    """One writer; each call appends one file, so what was written is never changed. ``compact`` folds the log when it has many."""
 
     fields: dict[str, T.DataType] = {}
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
         self.schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("id", T.LongType()), *[T.StructField(n, t) for n, t in self.fields.items()]])
+        self._marks: tuple[int, int] | None = None
         self._create()
 
     def _create(self) -> None:
@@ -54,21 +85,41 @@ class LogStore:
         return row.asDict() if row else None
 
     def _next(self) -> tuple[int, int]:
-        """The next seq and the next id, from high-water marks over the whole log: ids are never used again."""
-        row = self.log().agg(F.max("seq").alias("seq"), F.max(F.when(F.col("op") == "add", F.col("id"))).alias("id")).first()
-        return (row["seq"] or 0) + 1, (row["id"] or 0) + 1
+        """The next seq and the next id, from high-water marks over the whole log, read once: ids are never used again."""
+        if self._marks is None:
+            row = self.log().agg(F.max("seq").alias("seq"), F.max(F.when(F.col("op").isin("add", "mark"), F.col("id"))).alias("id")).first()
+            self._marks = row["seq"] or 0, row["id"] or 0
+        return self._marks[0] + 1, self._marks[1] + 1
 
     def _append(self, op: str, key: int | None, values: dict) -> None:
         seq, _ = self._next()
         self.spark.createDataFrame([(seq, op, key, *[values.get(f) for f in self.fields])], self.schema).coalesce(1).write.mode("append").parquet(self.path)
+        self._marks = seq, max(self._marks[1], key or 0) if op == "add" else self._marks[1]
 
     def append_all(self, rows: DataFrame) -> None:
         """Add many rows at once; ids follow the order of ``rows``' column ``order``, which must be unique."""
-        from .ranking import ranked
+        seq, key = self._next()
+        added = numbered(rows, ["order"], key - 1)
+        added.select((F.col("id") - key + seq).alias("seq"), F.lit("add").alias("op"), "id", *self.fields).write.mode("append").parquet(self.path)
+        self._marks = None
 
+    def compact(self) -> None:
+        """Write the living rows and the high-water marks as one log in place of the old files, which go once the new ones are there."""
         seq, key = self._next()
-        numbered = ranked(rows, [], ["order"])
-        numbered.select((F.col("rank") + seq - 1).alias("seq"), F.lit("add").alias("op"), (F.col("rank") + key - 1).alias("id"), *self.fields).write.mode("append").parquet(self.path)
+        old = [f.getPath() for f in self._listed()]
+        living = self.current()
+        marks = self.spark.createDataFrame([(seq, "clear", None, *[None for _ in self.fields]), (seq, "mark", key - 1, *[None for _ in self.fields])], self.schema)
+        kept = living.select(F.lit(seq + 1).cast("long").alias("seq"), F.lit("add").alias("op"), "id", *self.fields)
+        # Until the old files are gone their rows lie before the clear, so a reader sees the same table at any time.
+        marks.unionByName(kept).write.mode("append").parquet(self.path)
+        files = old[0].getFileSystem(self.spark._jsc.hadoopConfiguration()) if old else None
+        for path in old:
+            files.delete(path, False)
+        self._marks = None
+
+    def _listed(self) -> list:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return [f for f in where.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(where) if f.getPath().getName().endswith(".parquet")]
 
 
 class QuarantineStore(LogStore):
@@ -125,7 +176,7 @@ class RuleStore(LogStore):
         return key
 
     def get_all_rules(self) -> DataFrame:
-        return self.current().orderBy(F.desc("created_at"), F.desc("id"))
+        return newest_first(self.current())
 
     def get_rule_by_name(self, name: str) -> dict | None:
         row = self.current().where(F.col("name") == name).first()

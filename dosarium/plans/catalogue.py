@@ -124,7 +124,7 @@ def rule_upsert(spark, d):
 
 
 def rules_ordered(spark, d):
-    return table(spark, d, "saved_rules").select("id", "name", "created_at").orderBy(F.desc("created_at"), F.desc("id"))
+    return stores.newest_first(table(spark, d, "saved_rules").select("id", "name", "created_at"))
 
 
 def rule_lookup(spark, d):

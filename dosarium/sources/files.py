@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import paths, text
+from ..functions import paths, text, validate
 
 MOST_PAGES = 2
 FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("suffix", T.StringType()), T.StructField("kind", T.StringType())])
@@ -103,8 +103,16 @@ def _reader(read: Callable[[str], str], on_error: Callable[[Exception], str]) ->
     return run
 
 
-def with_content(files: DataFrame, readers: dict[str, Callable[[str], str]] | None = None, caption: Callable[[str], str] = no_caption) -> DataFrame:
-    """Adds content. Each kind is a branch of its own, so a reader sees its own files only."""
+@F.pandas_udf(T.StringType())
+def decode_text(content: pd.Series) -> pd.Series:
+    """The bytes of a plain text file as text; bytes that are none are left out."""
+    return content.map(lambda b: b.decode("utf-8", errors="ignore"), na_action="ignore")
+
+
+def with_content(files: DataFrame, readers: dict[str, Callable[[str], str]] | None = None, caption: Callable[[str], str] = no_caption, attempts: int = 2, wait: float = 0.0) -> DataFrame:
+    """Adds content. Each kind is a branch of its own, so a reader sees its own files only. A caption that is refused for too many
+    calls is asked for ``attempts`` times, ``wait`` seconds apart."""
+    caption = validate.retried(caption, attempts, wait)
     readers = READERS | (readers or {})
     parts = []
     for kind, read in readers.items():
