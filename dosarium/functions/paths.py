@@ -50,7 +50,7 @@ def mime(path: Column) -> Column:
 
 def data_url(path: Column, content: Column) -> Column:
     """An image's bytes as a model takes them."""
-    return F.concat(F.lit("data:"), mime(path), F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), mime(path), F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))  # without line breaks
 
 
 def join(left: Column, right: Column) -> Column:

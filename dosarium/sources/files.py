@@ -18,28 +18,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import paths, text, validate
+from ..session import materialise, spread
 
 MOST_PAGES = 2
-FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("suffix", T.StringType()), T.StructField("kind", T.StringType())])
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, name, suffix, kind) of every regular file below ``root`` whose own name is not hidden.
 
-    The driver lists the first level only; tasks walk the folders below it.
+    ``root`` is a folder that every executor sees. Tasks list the folders of one level after the other, so no task walks a whole
+    branch and the driver lists nothing; links to folders are not followed, and folders that cannot be read are passed over.
     """
-    here = [os.path.join(root, n) for n in sorted(os.listdir(root))]
-    if not here:
-        return spark.createDataFrame([], FILE)
-    tops = spark.createDataFrame([(p,) for p in here], "top string").repartition(min(len(here), 200))
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for top in batch["top"]:
-                inner = [os.path.join(d, f) for d, _, fs in os.walk(top) for f in fs] if os.path.isdir(top) and not os.path.islink(top) else [top]
-                yield pd.DataFrame({"path": [p for p in inner if os.path.isfile(p)]}, dtype=object)
-
-    found = tops.mapInPandas(walk, "path string")
+            for folder in batch["path"]:
+                rows = []
+                try:
+                    with os.scandir(folder) as entries:
+                        rows = [(e.path, e.is_dir(follow_symlinks=False)) for e in entries if e.is_dir(follow_symlinks=False) or e.is_file()]
+                except OSError:
+                    pass
+                yield pd.DataFrame(rows, columns=["path", "folder"]).astype({"path": "object", "folder": "bool"})
+
+    level, found = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), None
+    while found is None or not level.isEmpty():
+        listed = materialise(spread(level, "path").mapInPandas(look, "path string, folder boolean"), "listing")
+        files, level = listed.where("not folder").select("path"), listed.where("folder").select("path")
+        found = files if found is None else found.unionByName(files)
     c = F.col("path")
     return found.select(c, paths.name(c).alias("name"), paths.suffix(c).alias("suffix"), paths.kind(c).alias("kind")).where(paths.visible(c))
 
