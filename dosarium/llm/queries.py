@@ -119,6 +119,22 @@ select distinct doc_id, item_id from dg join ig on dg.h = ig.h and dg.g = ig.g
 """
 
 
+P8_NEAR_SQL = """
+with d as (
+  select doc_id, unnest(range(1, len(w) + 1)) as pos, unnest(w) as term from (select doc_id, regexp_extract_all(strip_accents(nfc_normalize(lower(text))), '[\\p{L}\\p{N}]+') as w from documents where text is not null)
+), i as (
+  select item_id, regexp_extract_all(strip_accents(nfc_normalize(lower(text))), '[\\p{L}\\p{N}]+') as w from eval_items
+), t as (select distinct item_id, unnest(w) as term from i), s as (
+  select item_id, len(w) as size, len(list_distinct(w)) as terms from i
+), occ as (select d.doc_id, t.item_id, d.pos, d.term from d join t using (term)), c as (
+  select doc_id, item_id, size, terms from occ join s using (item_id) group by all having 5 * count(distinct term) >= 4 * terms
+), near as (
+  select c.doc_id, c.item_id, c.terms, a.pos, count(distinct b.term) as m from c join occ a using (doc_id, item_id) join occ b on b.doc_id = c.doc_id and b.item_id = c.item_id and b.pos >= a.pos and b.pos < a.pos + 2 * c.size group by all
+)
+select doc_id, item_id, max(m) / terms as share from near group by doc_id, item_id, terms having 5 * max(m) >= 4 * terms
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -141,4 +157,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p8_found": P8_FOUND_SQL}
+    return {"p8_found": P8_FOUND_SQL, "p8_near": P8_NEAR_SQL}
