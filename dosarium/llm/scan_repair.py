@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -299,9 +299,10 @@ def broken_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     return known.where(F.coalesce("n_joined", F.lit(0)) >= F.coalesce("n_compound", F.lit(0))).select("input_id", "text_id", "line_no", "head", "tail")
 
 
-def _shifts(pairs: list[tuple[str, str]]) -> Column:
-    """An array of (wrong, true, shift): what a confusion adds to the hash of the word that it is undone in."""
-    return F.array(*[F.struct(F.lit(a).alias("wrong"), F.lit(b).alias("true"), (anagram_hash(F.lit(b)) - anagram_hash(F.lit(a))).alias("shift")) for a, b in pairs])
+def _shifts(spark: SparkSession, pairs: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
+    """(wrong, true, shift): what a confusion adds to the hash of the word that it is undone in; the fixed pairs, worked out once."""
+    rows = spark.createDataFrame(pairs, "wrong string, true string").select("wrong", "true", anagram_hash(F.col("true")) - anagram_hash(F.col("wrong")))
+    return sorted(tuple(r) for r in rows.collect())
 
 
 def corrections(words: DataFrame) -> DataFrame:
@@ -310,7 +311,8 @@ def corrections(words: DataFrame) -> DataFrame:
     letters = F.col("word").rlike(r"^\p{L}+$")
     good = hashed.where(letters & (F.length("word") >= 2) & (F.col("n") > 1)).select("h", F.col("word").alias("right"), F.col("n").alias("n_right"))
     odd = F.col("word").rlike(r"\p{L}") & (letters & (F.length("word") >= SHORTEST) | F.col("word").rlike(r"[\p{N}|!]") & (F.length("word") >= 2))
-    held = F.filter(_shifts(sorted({(a, b) for a, b in CONFUSIONS})), lambda c: F.contains(F.col("word"), c["wrong"]))  # those of the list that the word has
+    table = [F.struct(F.lit(a).alias("wrong"), F.lit(b).alias("true"), F.lit(n).cast("long").alias("shift")) for a, b, n in _shifts(words.sparkSession, sorted({(a, b) for a, b in CONFUSIONS}))]
+    held = F.filter(F.array(*table), lambda c: F.contains(F.col("word"), c["wrong"]))  # those of the list that the word has
     tried = hashed.where(odd).select("word", "n", "h", F.explode(held).alias("c")).select("word", "n", "c.wrong", "c.true", (F.col("h") + F.col("c.shift")).alias("h"))
     met = tried.join(good, "h").where((F.col("n_right") >= RARER * F.col("n")) & (F.col("right") != F.col("word")))
     # Equal hashes only say that the letters are the same ones; the confusion must also give the word at some place.
@@ -330,18 +332,14 @@ def misread_numbers(tokens: DataFrame) -> DataFrame:
     digits = r"[0-9]"
     shaped = tokens.where(F.col("word").rlike(r"^[0-9OoIlSBZgqDQ|]+$") & F.col("word").rlike(digits) & (F.length("word") >= 2)).withColumn("shape", F.regexp_replace("word", digits, "9"))
     shapes = materialise(shaped.groupBy("shape").agg(F.count("*").alias("n")).withColumn("h", anagram_hash(F.col("shape"))), "shapes")
-    shift = F.aggregate(F.split("shape", ""), F.lit(0).cast("long"), lambda s, c: s + F.coalesce(F.try_element_at(_letter_shifts(), c), F.lit(0).cast("long")))
+    letters = F.create_map(*[x for c, _, n in _shifts(tokens.sparkSession, [(c, "9") for c in _DIGITS[0]]) for x in (F.lit(c), F.lit(n).cast("long"))])
+    shift = F.aggregate(F.split("shape", ""), F.lit(0).cast("long"), lambda s, c: s + F.coalesce(F.try_element_at(letters, c), F.lit(0).cast("long")))
     odd = shapes.where(F.col("shape").rlike(r"[^9]")).select("shape", "n", (F.col("h") + shift).alias("h"))
     plain = shapes.where(F.col("shape").rlike(r"^9+$")).select("h", F.col("n").alias("n_right"))
     known = odd.join(plain, "h").where("n_right > n").select("shape")
     return shaped.where(F.col("word").rlike(_NUMBER)).join(known, "shape", "left_semi").select("input_id", "text_id", "line_no", "word", F.translate("word", *_DIGITS).alias("right"))
 
 
-def _letter_shifts() -> Column:
-    """What reading a letter as a digit adds to a shape's hash."""
-    return F.create_map(*[x for c in _DIGITS[0] for x in (F.lit(c), anagram_hash(F.lit("9")) - anagram_hash(F.lit(c)))])
-
-
 def misread_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     """(input_id, line_no, word, right): misread common words, dates and numbers."""
     tokens = line_words(lines).distinct()
