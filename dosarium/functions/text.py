@@ -6,12 +6,15 @@ handled whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that count as white space at the ends of a text, and those a file name must not hold.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
-SPACE_RE2 = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# The characters that count as white space at the ends of a text, as ranges, and those a file name must not hold.
+SPACE_RANGES = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+SPACES = "".join(chr(c) for first, last in SPACE_RANGES for c in range(first, last + 1))
+SPACE_RE2 = "[" + "".join(f"\\x{{{first:x}}}-\\x{{{last:x}}}" for first, last in SPACE_RANGES) + "]"
 UNSAFE = r'[<>:"/\\|?*]'
 # Texts that stand where content is missing, and how a log line is read, first match first.
 EMPTY_CONTENT = "Conținut gol sau necitibil"
@@ -23,7 +26,7 @@ SUMMARY_CUT, REASON_CUT, MOST_SUMMARY = 200, 100, 500
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")  # a run is tried from its start only
+    return F.btrim(c, F.lit(SPACES))
 
 
 def strip_sql(c: str) -> str:
@@ -132,9 +135,17 @@ def descriptive_name(text: Column, original: Column, suffix: Column) -> Column:
     underline and hyphen goes, dots included; then the suffix is added unless
     the name ends in it.
     """
-    part = F.get(F.split(text, F.lit(MARKER), 3), F.lit(1))
+    part = F.substring_index(F.substring_index(text, MARKER, 2), MARKER, -1)
     caption = strip(F.substring_index(part, OCR_MARKER, 1))
-    kept = F.regexp_replace(F.replace(caption, F.lit(" "), F.lit("_")), r"[^a-zA-Z0-9_-]", "")
-    named = F.when(F.endswith(F.lower(kept), F.lower(suffix)), kept).otherwise(F.concat(kept, suffix))
-    usable = text.contains(MARKER) & (caption != "") & ~caption.startswith("Eroare") & (kept != "")
-    return F.when(usable, named).otherwise(original)
+
+    def with_caption(c: Column) -> Column:
+        kept = F.regexp_replace(F.translate(c, " ", "_"), r"[^a-zA-Z0-9_-]", "")
+        usable = text.contains(MARKER) & (c != "") & ~c.startswith("Eroare")
+        return once(F.when(usable, kept), lambda k: F.when(F.coalesce(k, F.lit("")) == "", original).when(F.endswith(F.lower(k), F.lower(suffix)), k).otherwise(F.concat(k, suffix)))
+
+    return F.when(text.isNotNull(), once(caption, with_caption)).otherwise(original)
+
+
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` worked out a single time however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
