@@ -399,6 +399,49 @@ def test_running_lines_that_turn_miss_a_page_or_stand_inside():
     assert heads("\n".join(inside), 4) == set()
 
 
+def test_running_lines_with_a_digit_in_a_word_and_of_any_length():
+    rnd = random.Random(5)
+    words = ["livrarea", "suma", "avizul", "termenul", "bugetul", "raportul", "semnat", "ieri"]
+    for head in ("Arhiva Hattromonic, 2024", "Registrul general al arhivei " + " ".join(f"{w}{i}" for i in range(60) for w in ("camera", "raft"))):
+        lines = []
+        for k in range(4):
+            lines += [head if k != 2 else head.replace("o", "0", 1).replace("e", "c", 1)] + [" ".join(rnd.choices(words, k=40 if len(head) > 300 else 6)) for _ in range(12)]
+        found = scan_repair.running_lines(lines, 4, set())
+        assert found == {0, 13, 26, 39}, head[:40]
+
+
+def test_page_number_lines():
+    lines = ["text of the first page", "- 1 -", "more text here", "- 2 -", "_" * 5000 + " 3 " + "_" * 5000, "x" * 5000 + " 3", "- 3 -"]
+    assert scan_repair.page_numbers(lines, 3) == {1, 3, 6}
+    assert scan_repair.page_numbers(["pagina 1 din 2", "a 1", "pagina 2 din 2"], 2) == {0, 2}
+
+
+def test_edit_distance_in_a_band():
+    def whole(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    rnd = random.Random(8)
+    for _ in range(400):
+        a, b = ("".join(rnd.choices("ab", k=rnd.randint(0, 7))) for _ in range(2))
+        for most in range(5):
+            assert scan_repair.alike(a, b, most) == (whole(a, b) <= most)
+
+
+def test_numbers_by_their_shape_and_texts_of_one_id_apart(spark):
+    clean = "Suma de 1200 lei se achită la 12.05.2023, factura 77 din 2022. " * 5
+    rows = [(1, clean, 1, "x"), (2, "Nota 2O23 la 1l.05.2024 și 8S lei\nType XO1Z5 stays", 1, "y"), (2, "Alt text 2021\ncu l2OO lei", 1, "y"), (2, "Alt text 2021\ncu l2OO lei", 1, "y"), (3, "O O O", 1, "z")]
+    df = spark.createDataFrame(rows, "input_id long, document_text string, n_pages int, text_id string")
+    got = {(r["input_id"], r["line_no"], r["kind"]) for r in scan_repair.scan_noise(df).collect()}
+    assert got == {(2, 1, "misread"), (2, 2, "misread")}
+    texts = sorted(r["text"] for r in scan_repair.repair(df).where("input_id = 2").collect())
+    assert texts == ["Alt text 2021 cu 1200 lei", "Nota 2023 la 11.05.2024 și 85 lei Type XO1Z5 stays"]
+
+
 def test_anagram_hash(spark):
     df = spark.createDataFrame([("anna",), ("nana",), ("hello",), ("he11o",), ("",), ("x" * 100_000,)], "w string").select("w", scan_repair.anagram_hash(F.col("w")).alias("h"), scan_repair.anagram_hash(F.lit("l")).alias("l"), scan_repair.anagram_hash(F.lit("1")).alias("one"))
     h = {r["w"]: r for r in df.collect()}
@@ -519,6 +562,47 @@ def test_spam_in_the_shape_of_lists(spark):
     assert {r["doc_id"] for r in got.collect()} == {1000, 1001, 1002, 1003, 1004}
 
 
+def test_hot_bigrams_are_split_off_without_a_change(spark, monkeypatch):
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choices(["toner", "dosar", "aviz", "plan", "raport"], k=40)) for _ in range(40)] + ["\n".join(["http://x.test/a"] * 60), "#a #b " * 40, None, "", "unu doi"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r["doc_id"]: (round(r["share"], 9), round(r["mean_pmi"], 9), r["spam"]) for r in spam.incoherent_pages(df).collect()}
+    monkeypatch.setattr(spam, "BROADCAST_BIGRAMS", 3)
+    monkeypatch.setattr(spam, "MOST_FREQUENT", 20)
+    assert {r["doc_id"]: (round(r["share"], 9), round(r["mean_pmi"], 9), r["spam"]) for r in spam.incoherent_pages(df).collect()} == whole and len(whole) == 42
+
+
+def test_pairs_against_a_plain_count():
+    rnd = random.Random(3)
+    text = "\n".join(" ".join(rnd.choices(["a", "bb", "c", "d1", "12", "http://x.y", "#t"], k=rnd.choice([3, 12, 40]))) for _ in range(12))
+    signs = spam._Signs()
+    rows = spam._pairs(7, text, signs)
+    expect = {}
+    own = {}
+    for words, _ in spam.stretches(text):
+        for w in words:
+            own[w] = own.get(w, 0) + 1
+    for i, (words, _) in enumerate(spam.stretches(text)):
+        for a, b in zip(words, words[1:]) if len(words) >= 4 else ():
+            key = (i, signs[a], signs[b])
+            expect[key] = (expect.get(key, (0, 0))[0] + 1, own[b])
+    assert {(int(r[1]), int(r[3]), int(r[4])): (int(r[5]), int(r[6])) for r in rows.T if r[5]} == expect and set(rows[0]) == {7}
+
+
+def test_shuffled_pages_are_incoherent_and_others_stay(spark):
+    rnd = random.Random(6)
+    nouns, verbs, ends = ["raportul", "dosarul", "avizul", "planul", "bugetul"], ["se păstrează în arhivă", "a fost înregistrat ieri", "necesită o nouă verificare", "ajunge prin poștă"], ["până luni dimineață", "fără taxe suplimentare", "la sediul central", "cu toate anexele"]
+    prose = [" ".join(f"{rnd.choice(nouns).capitalize()} {rnd.choice(verbs)} {rnd.choice(ends)}." for _ in range(12)) for _ in range(150)]
+    salad = []
+    for p in prose[:10]:
+        words = re.findall(r"\w+", p)
+        rnd.shuffle(words)
+        salad.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(prose + salad)), "doc_id long, text string")
+    got = {r["doc_id"] for r in spam.incoherent_pages(df).where("spam").collect()}
+    assert len(got & set(range(150, 160))) >= 9 and len(got - set(range(150, 160))) <= 1
+
+
 def test_stretches_keep_every_pair():
     text = "unu doi trei patru cinci șase șapte opt nouă zece unsprezece doisprezece " * 9
     words = [w for w in text.split()]
