@@ -11,7 +11,8 @@ incoherent stretches.
 
 Links, hash tags, product codes and numbers each count as one word. Lines of
 numbered or dashed lists count as coherent, unless they hold links, tags or
-repeated keywords; these are read without their markers like any other text.
+repeated keywords or are as long as a stretch; these are read without their
+markers like any other text.
 
 Defined results: null, empty and very short texts (fewer than ``LEAST_WORDS``
 words outside ordinary lists) are never flagged; long texts are read whole; a repeated
@@ -86,7 +87,8 @@ def stretches(text: str) -> list[tuple[list[str], int]]:
     listed = {i: _read(line[m.end() :]) for i, line in enumerate(lines) if (m := _MARKERS.match(line))}
     often = Counter(w for words in listed.values() for w in words)
     for i, line in enumerate(lines):
-        if i in listed and not _no_list(listed[i], often):
+        # What is as long as a stretch is text, whatever it begins with.
+        if i in listed and len(listed[i]) < STRETCH and not _no_list(listed[i], often):
             out.append(([], len(line)))
             continue
         words = listed[i] if i in listed else _read(line)
