@@ -115,7 +115,7 @@ def read(text: str) -> str:
     """Lower case without accents; digits as 0; single separators as blanks, unusual underlines kept; other alphabets as one letter."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", consistent(text) or "") if not unicodedata.combining(c)).lower()
     plain = re.sub(r"\.(?:pdf|docx?|xlsx?|txt|csv|md|jpe?g|png|bmp|tiff?|gif|webp|odt|rtf)$", "", plain.strip())
-    plain = re.sub(r"(?<=[^\W_])_(?=[^\W_])", " ", re.sub(r"_[-–]_", " ", plain))
+    plain = re.sub(r"(?<=[^\W_])_(?=[^\W_])", " ", re.sub(r"_[-–]_|(?<=[^\W_])_(?=[\s(])|(?<=\))_", " ", plain))
     plain = re.sub(r"[\s\-–]+", " ", re.sub(r"\d+", lambda m: "0" * min(len(m[0]), 6), plain))
     return " " + "".join(c if ord(c) < 128 else "\x7f" for c in plain).strip(" ") + " "
 
