@@ -50,8 +50,8 @@ PARTS = 16
 LEADERS, GROWTH = 32, 8
 #: The batch number of rows without one.
 LAST = 2**31 - 1
-#: Rows up to which the keys or candidates of a batch are sent to the tasks that read the store; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Keys, and candidates, of a batch up to which they are sent to the tasks that read the store (some 60 and 100 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS, BROADCAST_ROWS = 1_000_000, 500_000
 #: Parts of a bucket that are ranked by themselves before the bucket is.
 SALTS = 16
 #: Share of equal signature places below which a candidate is not looked at further: fewer than two places beyond those of the band that it shares.
@@ -250,7 +250,7 @@ def _verified(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 class History:
-    """The stored keys and records of what was accepted, in a folder that all executors share."""
+    """The stored keys and records of what was accepted, in a folder that all executors share. One writer at a time."""
 
     KEYS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("id", T.LongType()), T.StructField("part", T.IntegerType())])
     RECORDS = T.StructType([T.StructField("id", T.LongType()), *[f for f in RECORD.fields if f.name in ("path_words", "name_words", "signature")], T.StructField("part", T.IntegerType())])
@@ -262,7 +262,7 @@ class History:
         if self._exists("parts"):
             self.parts = spark.read.parquet(f"{self.path}/parts").first()["parts"]
         else:
-            spark.createDataFrame([(parts,)], "parts int").coalesce(1).write.parquet(f"{self.path}/parts")
+            spark.createDataFrame([(parts,)], "parts int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/parts")
         # The keys of a batch are written last.
         while self._exists(f"keys/batch={self.batches}"):
             self.batches += 1
@@ -293,40 +293,41 @@ class History:
         """Take in one batch, as ``read_records`` gives it. Returns (id, first): the accepted record of every
         record of the batch that names a file accepted before it; the others are accepted now."""
         firsts = materialise(collapse(batch.withColumn("batch", F.lit(0)), ["batch"]).withColumn("part", self.part()), "firsts")
-        parts = [r["part"] for r in firsts.select("part").distinct().collect()]  # no more than the store has
+        sizes = {r["part"]: r["count"] for r in firsts.groupBy("part").count().collect()}  # no more than the store has
         pairs, hot = own_pairs(firsts)
-        links = self.add_firsts(firsts, parts, pairs, None if hot.isEmpty() else hot)
+        links = self.add_firsts(firsts, list(sizes), sum(sizes.values()), pairs, None if hot.isEmpty() else hot)
         return materialise(with_copies(links, firsts, batch, []), "found")
 
-    def probe(self, firsts: DataFrame, parts: list[int]) -> DataFrame:
-        """(part, id, other): the records of the store that share a bucket with one of the batch."""
+    def probe(self, firsts: DataFrame, parts: list[int], size: int) -> DataFrame:
+        """(part, id, other): the records of the store that share a bucket with one of the ``size`` of the batch."""
         asked = firsts.select("part", "id", F.explode(F.array_distinct("buckets")).alias("bucket"))
-        if firsts.limit(BROADCAST_ROWS // BANDS + 1).count() <= BROADCAST_ROWS // BANDS:
+        if size * BANDS <= BROADCAST_KEYS:
             asked = F.broadcast(asked)
-        return self.read("keys", parts).withColumnRenamed("id", "other").join(asked, ["part", "bucket"]).select("part", "id", "other")
+        # Equal buckets have equal numbers, so they lie in one partition.
+        return self.read("keys", parts).select("bucket", F.col("id").alias("other")).join(asked, "bucket").select("part", "id", "other")
 
-    def add_firsts(self, firsts: DataFrame, parts: list[int], pairs: DataFrame, hot: DataFrame | None) -> DataFrame:
-        """(id, first) of a batch of distinct canonical texts, which lies in a table, with its pairs and hot buckets as ``own_pairs`` gives them."""
+    def add_firsts(self, firsts: DataFrame, parts: list[int], size: int, pairs: DataFrame, hot: DataFrame | None) -> DataFrame:
+        """(id, first) of a batch of ``size`` distinct canonical texts, which lies in a table, with its pairs and hot buckets as ``own_pairs`` gives them."""
         known = self.read("records", parts).withColumn("known", F.lit(True))
         own = firsts.select(*self.RECORDS.names).withColumn("known", F.lit(False))
         pairs = pairs.select("part", "id", "other")
         if self.batches:
-            pairs = pairs.unionByName(self.probe(firsts, parts))
-        leaders = LEADERS
-        if hot is not None:
-            waiting = hot.select("part", "id", "bucket")
-            pairs = pairs.unionByName(_led(waiting, leaders))
-        links = materialise(_verified(pairs, own, known.unionByName(own)), "links")
-        while hot is not None:
-            # Buckets with more members than the round compared: again, without the leaders and those linked.
-            rest = waiting.join(links.select("id").distinct(), "id", "left_anti")
-            waiting = materialise(rest.join(_leaders(waiting, leaders), ["bucket", "id"], "left_anti"), "waiting")
-            if waiting.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-                break
-            leaders *= GROWTH
-            links = materialise(links.unionByName(_verified(_led(waiting, leaders), own, own)), "links")
+            pairs = pairs.unionByName(self.probe(firsts, parts, size))
+        if hot is None:
+            found = _verified(pairs, own, known.unionByName(own))
+        else:
+            waiting, leaders = hot.select("part", "id", "bucket"), LEADERS
+            found = materialise(_verified(pairs.unionByName(_led(waiting, leaders)), own, known.unionByName(own)), "links")
+            while True:
+                # Buckets with more members than the round compared: again, without the leaders and those linked.
+                rest = waiting.join(found.select("id").distinct(), "id", "left_anti")
+                waiting = materialise(rest.join(_leaders(waiting, leaders), ["bucket", "id"], "left_anti"), "waiting")
+                if waiting.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+                    break
+                leaders *= GROWTH
+                found = materialise(found.unionByName(_verified(_led(waiting, leaders), own, own)), "links")
         # What the store has goes before what the batch itself has.
-        best = links.groupBy("id").agg(F.min(F.struct(~F.col("known"), "other")).alias("b")).select("id", F.col("b.other").alias("other"))
+        best = found.groupBy("id").agg(F.min(F.struct(~F.col("known"), "other")).alias("b")).select("id", F.col("b.other").alias("other"))
         links = resolve(materialise(best, "best"))
         self.append(firsts.join(links, "id", "left_anti"))
         return links.withColumnRenamed("other", "first")
@@ -339,7 +340,7 @@ def own_pairs(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = materialise(keys.join(_few(shared), ["batch", "bucket"]), "members")
     small = members.where(F.col("n") <= LEADERS).groupBy("batch", "part", "bucket").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # at most LEADERS ids
     pairs = small.select("batch", "part", F.posexplode("ids").alias("at", "id"), "ids").select("batch", "part", "id", F.explode(F.slice("ids", F.lit(1), F.col("at"))).alias("other"))
-    return materialise(pairs.distinct(), "pairs"), members.where(F.col("n") > LEADERS).select("batch", "part", "id", "bucket")
+    return materialise(pairs.distinct(), "pairs", ["batch"]), members.where(F.col("n") > LEADERS).select("batch", "part", "id", "bucket")
 
 
 def collapse(records: DataFrame, by: list[str]) -> DataFrame:
@@ -393,12 +394,12 @@ def dedup_batches(rows: DataFrame, key: str = "id", path: str = "original_path",
     history = history or History(spark)
     records = materialise(read_records(rows, key, path, name, batch), "records")
     firsts = materialise(collapse(records, ["batch"]).withColumn("part", history.part()), "firsts", ["batch"])
-    parts = firsts.groupBy("batch").agg(F.collect_set("part").alias("parts")).collect()  # a row a batch: its partitions, no more than the store has
+    parts = firsts.groupBy("batch").agg(F.collect_set("part").alias("parts"), F.count("*").alias("size")).collect()  # a row a batch: its partitions, no more than the store has
     pairs, hot = own_pairs(firsts)
     held = {r["batch"] for r in hot.select("batch").distinct().collect()}  # batches again
     found = [spark.createDataFrame([], "id long, first long")]
-    for number, own in sorted((r["batch"], r["parts"]) for r in parts):
+    for number, own, size in sorted((r["batch"], r["parts"], r["size"]) for r in parts):
         of = F.col("batch") == number
-        found.append(history.add_firsts(firsts.where(of).drop("batch"), own, pairs.where(of), hot.where(of) if number in held else None))
+        found.append(history.add_firsts(firsts.where(of).drop("batch"), own, size, pairs.where(of), hot.where(of) if number in held else None))
     links = functools.reduce(DataFrame.unionByName, found)
     return with_copies(links, firsts, records, ["batch"]).select("id", "first", F.nullif("batch", F.lit(LAST)).alias("batch"))
