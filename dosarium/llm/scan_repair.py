@@ -279,17 +279,17 @@ def _unbroken() -> Column:
 
 
 def line_words(lines: DataFrame) -> DataFrame:
-    """(input_id, text_id, line_no, word): the words of the body, without the parts of broken words."""
+    """(input_id, text_id, line_no, word): the words of the body, each occurrence, without the parts of broken words; stored in the shared folder."""
     body = lines.where("place = 'body'")
-    return body.select("input_id", "text_id", "line_no", F.explode(F.regexp_extract_all(_unbroken(), F.lit(r"[\p{L}\p{N}|!]*[\p{L}\p{N}][\p{L}\p{N}|]*"), F.lit(0))).alias("word"))
+    words = F.regexp_extract_all(_unbroken(), F.lit(r"[\p{L}\p{N}|!]*[\p{L}\p{N}][\p{L}\p{N}|]*"), F.lit(0))
+    return materialise(body.select("input_id", "text_id", "line_no", F.explode(words).alias("word")), "tokens")
 
 
-def vocabulary(lines: DataFrame) -> DataFrame:
-    """(word, n): lower-case words of the body, hyphenated ones whole and in parts, broken ones not."""
-    body = lines.where("place = 'body'").select(F.lower(_unbroken()).alias("line"))
-    single = body.select(F.explode(F.regexp_extract_all("line", F.lit(r"[\p{L}\p{N}|!]*[\p{L}\p{N}][\p{L}\p{N}|]*"), F.lit(0))).alias("word"))
-    double = body.select(F.explode(F.regexp_extract_all("line", F.lit(r"(?<!\p{L})\p{L}{1,60}+-\p{L}{1,60}"), F.lit(0))).alias("word"))
-    return single.unionByName(double).groupBy("word").agg(F.count("*").alias("n"))
+def vocabulary(lines: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(word, n): lower-case words of the body, hyphenated ones whole and in parts, broken ones not; stored in the shared folder."""
+    hyphenated = lines.where("place = 'body'").where(F.contains("line", F.lit("-"))).select(F.lower(_unbroken()).alias("line"))
+    double = hyphenated.select(F.explode(F.regexp_extract_all("line", F.lit(r"(?<!\p{L})\p{L}{1,60}+-\p{L}{1,60}"), F.lit(0))).alias("word"))
+    return materialise(tokens.select(F.lower("word").alias("word")).unionByName(double).groupBy("word").agg(F.count("*").alias("n")), "words")
 
 
 def broken_words(lines: DataFrame, words: DataFrame) -> DataFrame:
@@ -340,9 +340,8 @@ def misread_numbers(tokens: DataFrame) -> DataFrame:
     return shaped.where(F.col("word").rlike(_NUMBER)).join(known, "shape", "left_semi").select("input_id", "text_id", "line_no", "word", F.translate("word", *_DIGITS).alias("right"))
 
 
-def misread_words(lines: DataFrame, words: DataFrame) -> DataFrame:
-    """(input_id, line_no, word, right): misread common words, dates and numbers."""
-    tokens = line_words(lines).distinct()
+def misread_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(input_id, text_id, line_no, word, right): misread common words, dates and numbers."""
     known = corrections(words)
     common = tokens.withColumn("low", F.lower("word")).join(known.withColumnRenamed("word", "low"), "low").select("input_id", "text_id", "line_no", "word", "right")
     return common.unionByName(misread_numbers(tokens)).groupBy("input_id", "text_id", "line_no", "word").agg(F.min("right").alias("right"))
@@ -351,10 +350,11 @@ def misread_words(lines: DataFrame, words: DataFrame) -> DataFrame:
 def scan_noise(docs: DataFrame, key: str = "input_id", column: str = "document_text", pages: str = "n_pages") -> DataFrame:
     """(input_id, line_no, kind): header, page_number, hyphen and misread lines."""
     lines = document_lines(docs, key, column, pages)
-    words = materialise(vocabulary(lines), "words")
+    tokens = line_words(lines)
+    words = vocabulary(lines, tokens)
     edges = lines.where("place in ('header', 'page_number')").select("input_id", "line_no", F.col("place").alias("kind"))
     hyphens = broken_words(lines, words).select("input_id", "line_no", F.lit("hyphen").alias("kind"))
-    misread = misread_words(lines, words).select("input_id", "line_no", F.lit("misread").alias("kind"))
+    misread = misread_words(tokens, words).select("input_id", "line_no", F.lit("misread").alias("kind"))
     return edges.unionByName(hyphens).unionByName(misread).distinct()
 
 
@@ -364,9 +364,10 @@ REPAIRED = T.StructType([T.StructField("input_id", T.LongType()), T.StructField(
 def repair(docs: DataFrame, key: str = "input_id", column: str = "document_text", pages: str = "n_pages") -> DataFrame:
     """(input_id, text): every text as paragraphs, one a line: edge lines gone, broken words joined, misread words put right."""
     lines = document_lines(docs, key, column, pages)
-    words = materialise(vocabulary(lines), "words")
+    tokens = line_words(lines)
+    words = vocabulary(lines, tokens)
     one = ["input_id", "text_id", "line_no"]
-    fixes = misread_words(lines, words).groupBy(*one).agg(F.collect_set(F.struct("word", "right")).alias("fixes"))  # at most a line's words
+    fixes = misread_words(tokens, words).groupBy(*one).agg(F.collect_set(F.struct("word", "right")).alias("fixes"))  # at most a line's words
     joins = broken_words(lines, words).select(*one, F.lit(True).alias("joins")).distinct()
     marked = lines.distinct().join(fixes, one, "left").join(joins, one, "left").where("place in ('body', 'blank')")
     rows = marked.groupBy("input_id", "text_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "place", "line", "fixes", F.coalesce("joins", F.lit(False)).alias("joins")))).alias("lines"))  # one document's lines
