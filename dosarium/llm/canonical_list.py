@@ -409,5 +409,6 @@ def map_values(values: DataFrame, entries: DataFrame | list[tuple[int, str, int]
             found = some if found is None else found.unionByName(some)
         # One row a part for each value.
         mapped = materialise(found.groupBy("value").agg(F.collect_list("best").alias("all")).select("value", _decide("all").alias("type_id")), "mapped")
-    named = mapped.select(F.col("value").alias("__value"), F.col("type_id"))
-    return values.join(named, values["value"] == named["__value"], "left").drop("__value")
+    # The row travels as one column, so whatever its columns are called does no harm.
+    packed = values.select(F.col("value").alias("asked"), F.struct("*").alias("row"))
+    return packed.join(mapped, packed["asked"] == mapped["value"], "left").select("row.*", "type_id")

@@ -309,13 +309,13 @@ def find_residue(texts: DataFrame, natural: DataFrame, column: str, template: st
                     _BUILT.clear()
                     _BUILT[key] = Finder(sent.value)
                 finder = _BUILT[key]
-            found = [finder.judge(v, bool(t)) for v, t in zip(batch["__text"], batch["__template"])]
+            found = [finder.judge(v, bool(t)) for v, t in zip(batch["text"], batch["template"])]
             yield batch.assign(**{name: [f[i] for f in found] for i, name in enumerate(RESULT.names)})
 
-    distinct = texts.select(F.col(column).alias("__text"), as_template.alias("__template")).where(F.col("__text").isNotNull()).distinct()
-    distinct = spread(distinct, "__text")
-    judged = materialise(distinct.mapInPandas(judge, T.StructType([T.StructField("__text", T.StringType()), T.StructField("__template", T.BooleanType()), *RESULT.fields])), "judged")
-    judged = judged.select("__text", "__template", F.struct(*RESULT.names).alias("residue"))
+    # The row travels as one column, so whatever its columns are called does no harm.
+    packed = texts.select(F.col(column).alias("text"), as_template.alias("template"), F.struct("*").alias("row"))
+    distinct = spread(packed.select("text", "template").where("text is not null").distinct(), "text")
+    judged = materialise(distinct.mapInPandas(judge, T.StructType([T.StructField("text", T.StringType()), T.StructField("template", T.BooleanType()), *RESULT.fields])), "judged")
+    judged = judged.select("text", "template", F.struct(*RESULT.names).alias("residue"))
     nothing = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cover"))
-    joined = texts.join(judged, (texts[column] == F.col("__text")) & (as_template == F.col("__template")), "left")
-    return joined.withColumn("residue", F.coalesce("residue", nothing)).drop("__text", "__template")
+    return packed.join(judged, ["text", "template"], "left").select("row.*", F.coalesce("residue", nothing).alias("residue"))

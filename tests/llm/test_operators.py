@@ -75,6 +75,17 @@ def test_store_is_reopened_and_only_its_matching_partitions_are_read(spark, tmp_
     assert history_dedup.History(spark, f"file://{tmp_path}/store").batches == 2
 
 
+def test_empty_batches_and_clashing_columns(spark, tmp_path):
+    def batch(rows):
+        return history_dedup.read_records(records(spark, rows), "id", "original_path", "ai_proposed_name", "batch_no")
+
+    store = history_dedup.History(spark, f"file://{tmp_path}/store", parts=4)
+    assert links(store.add_batch(batch([]))) == set()
+    assert links(store.add_batch(batch([(1, "/a/b 7.pdf", "Aviz 7.pdf", 0), (2, None, None, 0)]))) == set()
+    assert links(store.add_batch(batch([]))) == set()
+    assert links(history_dedup.History(spark, store.path).add_batch(batch([(3, "/a/b 7.pdf", "x" * 100_000 + " 7", 1), (4, "/a/b 7.pdf", "aviz 7 (1).pdf", 1)]))) == {(4, 1)}
+
+
 def test_a_bucket_of_many_files_that_do_not_match(spark, monkeypatch):
     monkeypatch.setattr(history_dedup, "LEADERS", 2)
     monkeypatch.setattr(history_dedup, "GROWTH", 3)
@@ -162,6 +173,9 @@ def test_residue_column(spark):
     df = spark.createDataFrame([(1, "{{x}}", "a", False), (2, None, "a", True), (2, None, "a", True)], "id int, text string, kind string, template boolean")
     rows = residue.find_residue(df, df.select(F.lit("natural text").alias("text")), "text", "template").collect()
     assert len(rows) == 3 and rows[0]["kind"] == "a"
+    clash = spark.createDataFrame([("{{issuer}}.pdf", "a", "b", "c", 1.0)], "name string, text string, template string, residue string, score double")
+    row = residue.find_residue(clash, df.select(F.lit("natural text").alias("text")), "name").collect()[0]
+    assert row["residue"]["kind"] and row["text"] == "a" and row["score"] == 1.0
     assert residue.find_residue(df.limit(0), df.select("text").limit(0), "text").isEmpty()
 
 
@@ -225,6 +239,8 @@ def test_mapping_of_rows(spark):
     df = spark.createDataFrame([(1, "Factură"), (2, None), (3, " any "), (4, ""), (5, "origami")], "type_id2 int, value string")
     assert [r["type_id"] for r in canonical_list.map_values(df, ENTRIES, ("any",)).collect()] == [1, None, None, None, -1]
     assert [r["type_id"] for r in canonical_list.map_values(df, [], ("any",)).collect()] == [-1, None, None, None, -1]
+    clash = spark.createDataFrame([("Factură", 9, "k", "b"), ("Factură", 9, "k", "b"), ("z" * 100_000, 9, "k", "b")], "value string, type_id int, key string, __value string")
+    assert sorted(r["type_id"] for r in canonical_list.map_values(clash, ENTRIES).collect()) == [-1, 1, 1]
 
 
 # 4: name variants
