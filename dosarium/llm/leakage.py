@@ -29,6 +29,8 @@ from ..session import materialise
 
 #: Distinct test terms up to which the dictionary may be broadcast; beyond, it is joined by shuffle.
 BROADCAST_TERMS = 500_000
+#: Documents with a rarest term up to which their ids are sent to the tasks that read the index, so that only their postings are shuffled.
+BROADCAST_DOCS = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -92,18 +94,25 @@ def find_passages(docs: DataFrame, items: DataFrame, length: int = 12, doc_key:
     windows = rarest_of_windows(spoken, postings, length)
     first = postings.withColumnRenamed("term_id", "term_1").join(F.broadcast(windows) if _small(windows) else windows, "term_1")
     first = first.select("item_id", "doc_id", F.col("term_2").alias("term_id"), (F.col("pos") - F.col("off_1")).alias("shift"), "off_1", (F.col("pos") - F.col("off_1") + F.col("off_2")).alias("pos"))
-    both = first.join(postings, ["term_id", "doc_id", "pos"], "left_semi").select("item_id", "doc_id", "shift", "off_1").distinct()
+    first = materialise(first.where("pos >= 0"), "first")
+    both = first.join(_of_docs(postings, first), ["term_id", "doc_id", "pos"], "left_semi").select("item_id", "doc_id", "shift", "off_1").distinct()
     both = materialise(both, "aligned")
 
     # The words around what was found, each at the position where it must stand.
     around = both.join(spoken, "item_id").where(F.abs(F.col("off") - F.col("off_1")) < length)
     due = around.select("item_id", "doc_id", "shift", "off", "term_id", (F.col("shift") + F.col("off")).alias("pos")).distinct()
-    agreed = due.join(postings, ["term_id", "doc_id", "pos"], "left_semi")
+    agreed = due.join(_of_docs(postings, both), ["term_id", "doc_id", "pos"], "left_semi")
     order = Window.partitionBy("item_id", "doc_id", "shift").orderBy("off")  # at most one row for each word of the item
     runs = agreed.withColumn("run", F.col("off") - F.row_number().over(order)).groupBy("item_id", "doc_id", "shift", "run").agg(F.count("*").alias("words"))
     return runs.where(F.col("words") >= length).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
 
+def _of_docs(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings of the documents of ``found``, a stored table; all of them where these are too many to be sent to every task."""
+    docs = found.select("doc_id").distinct()
+    return postings.join(F.broadcast(docs), "doc_id", "left_semi") if docs.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else postings
+
+
 def find_near(docs: DataFrame, items: DataFrame, share: float = 0.8, spread: int = 2, doc_key: str = "doc_id", doc_column: str = "text", item_key: str = "item_id", item_column: str = "text") -> DataFrame:
     """(doc_id, item_id, share): proximity matches. Documents in which, within a stretch of ``spread`` times the
     item's length, at least ``share`` of the item's distinct words stand, in any order.
