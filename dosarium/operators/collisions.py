@@ -53,10 +53,13 @@ def plan_targets(moves: DataFrame, existing: DataFrame | None = None) -> DataFra
     requests = ranked(asked, ["folder", "name"], ["path"])
 
     counts = asked.groupBy("folder", "name").agg(F.count("*").alias("n"), F.min("path").alias("first"))
-    every = counts.join(there.withColumn("there", F.lit(True)), ["folder", "name"], "full").withColumns({"n": F.coalesce("n", F.lit(0)), "there": F.coalesce("there", F.lit(False)), "base": F.regexp_replace("name", r"_[0-9]+", "")})
-    # A name that stands alone among those which differ in numbers only needs no looking at.
-    together = every.groupBy("folder", "base").agg(F.count("*").alias("names"), F.max("there").alias("held")).where("names > 1 or held").select("folder", "base")
-    names = materialise(_family(every.join(together, ["folder", "base"], "left_semi")), "names")
+    held = there.withColumn("there", F.lit(True))
+    every = counts.join(held, ["folder", "name"], "full").withColumns({"n": F.coalesce("n", F.lit(0)), "there": F.coalesce("there", F.lit(False)), "base": F.regexp_replace("name", r"_[0-9]+", "")})
+    every = materialise(_family(every), "names")
+    # Only where somebody asks for a name that another one is a number of, is there anything to look at.
+    parents = counts.select("folder", F.col("name").alias("parent"))
+    together = every.where("parent is not null").join(parents, ["folder", "parent"], "left_semi").select("folder", "base").distinct()
+    names = materialise(every.join(together, ["folder", "base"], "left_semi"), "together")
 
     # How many had asked for the parent before the numbered name was asked for first.
     marks = names.where("n > 0 and parent is not null").select("folder", F.col("parent").alias("name"), F.col("first").alias("path"), F.col("name").alias("child"))
@@ -67,8 +70,9 @@ def plan_targets(moves: DataFrame, existing: DataFrame | None = None) -> DataFra
     before = among.join(alone, ["folder", "child"]).select("folder", F.col("child").alias("name"), (F.col("of_all") - F.col("of_marks")).alias("before"))
 
     settled = names.join(before, ["folder", "name"], "left").groupBy("folder", "base").applyInPandas(_settle, _SETTLED)
-    known = requests.join(settled.withColumnRenamed("name", "__name").withColumnRenamed("folder", "__folder"), (F.col("folder") == F.col("__folder")) & (F.col("name") == F.col("__name")), "left")
-    turn = F.col("rank") - F.coalesce("direct", F.lit(True)).cast("long")  # 0 for the one that gets the name itself
+    known = requests.join(settled, ["folder", "name"], "left").join(held, ["folder", "name"], "left")
+    first_gets_it = F.coalesce("direct", ~F.coalesce("there", F.lit(False)))
+    turn = F.col("rank") - first_gets_it.cast("long")  # 0 for the one that gets the name itself
     skipped = F.size(F.filter(F.coalesce("taken", F.array().cast("array<long>")), lambda t, i: t - i <= turn))
     number = F.when(turn == 0, F.lit(0)).otherwise(turn + skipped)
     return known.select("path", "folder", "name", _numbered(paths.stem(F.col("name")), paths.suffix(F.col("name")), number).alias("target"))
