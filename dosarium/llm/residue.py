@@ -98,8 +98,8 @@ bitte javascript aktivieren|bitte aktivieren sie javascript|javascript ist deakt
 # Ordinary words that residue has too, the kinds of documents that they stand in, and what may go with them.
 TITLE_KINDS = "raport|ghid|manual|tabel|analiza|atelier|exercitii|poster|afis|studiu|curs|nota|plan|proces verbal|lista|formular|sablon|test|fisa|proiect|tema|articol|prezentare|report on|guide to|handbook|workshop|notes on|introduction to|leitfaden|bericht uber|rapport sur|guia de|study|analysis of|checklist|tutorial".split("|")
 ORDINARY = """javascript|java script|js|script|scripts|scripturi|server|errors|erori|timeouts|timeout|null|nan|none|undefined|placeholder|template|templates|sablon|test|teste|acces|page|pages|pagina|pagini|
-cookies|browser|exemplu|sample|text|texte|filler|missing|lipsa|valori lipsa|format|date format|data|draft|title|name|nume|titlu|insert""".replace("\n", "").split("|")
-COMPLEMENTS = "incepatori|avansati|explicat|intern|extern|lunar|anual|arhiva|retea|birou|nou|noua|vechi|semnat|cladire|laborator|fizica|istorie|muzica|teatru|film|auto|medical|grila|calcul|statistica|in practica|si solutii|pentru studenti|de referinta|for beginners|in practice|and solutions|basics|design|history|rooms|fur anfanger|grundlagen|pour debutants|para principiantes".split("|")
+cookies|browser|exemplu|sample|text|texte|filler|missing|lipsa|format|date format|data|draft|title|name|nume|titlu|insert""".replace("\n", "").split("|")
+COMPLEMENTS = "avansati|copii|extern|central|lunar|anual|arhiva|retea|birou|nou|noua|vechi|cladire|laborator|fizica|istorie|muzica|teatru|film|auto|medical|statistica|geografie|in practica|si solutii|pentru studenti|de referinta|for beginners|in practice|and solutions|basics|design|history|rooms|fur anfanger|grundlagen|pour debutants|para principiantes".split("|")
 PLAIN = """factura|chitanta|contract|aviz|oferta|notificare|diploma|adeverinta|notite|curs|cap|nr|copie|copy|scan|document|dosar|arhiva|model|invoice|receipt|report|letter|photo|summary|meeting|budget|holiday|family|house|garden|uber strassenbau|rechnung|brief|foto|rapport|lettre|carta|informe""".split("|")
 
 # Ordinary remarks in brackets.
