@@ -53,6 +53,8 @@ LEAST_COVER = {"placeholder": 0.0, "empty": 0.8, "stub": 0.45, "filler": 0.3, "n
 CERTAIN = {"placeholder": 8.0, "empty": 8.2, "stub": 20.0, "filler": 16.0, "notice": 14.0}
 #: Least ratios of placeholders and empty values whose brackets or signs bring at least the part named first.
 MARKED = {"placeholder": ((2.0, 3.7), (0.5, 5.5)), "empty": ((2.0, 3.2),)}
+#: Least ratio of a window that is looked at.
+LEAST_ANY = min(least for pairs in MARKED.values() for _, least in pairs)
 #: Least part of a window's ratio that its letters must bring.
 LEAST_SPOKEN = -0.5
 #: Least likelihood of a character under the natural alternative, which holds words that no model knows, such as invented names.
@@ -254,18 +256,26 @@ class Finder:
             self.known[gram] = found
         return found
 
-    def windows(self, text: str) -> dict[str, tuple[float, int, int, float, float]]:
-        """By kind: the greatest summed log likelihood ratio of any window, the window, and the parts of the sum due to letters and to signs."""
+    def windows(self, text: str) -> dict[str, list[tuple[float, int, int, float, float]]]:
+        """By kind: the maximal windows, each with its summed log likelihood ratio, its ends, and the parts of the sum due to letters and to
+        signs: the greatest first, then the greatest beside it, as long as they may tell anything."""
         padded = "\x02" * (ORDER - 1) + text
         sums = np.zeros((len(text) + 1, 3 * len(KINDS)))
         np.cumsum([self.ratios(padded[i : i + ORDER]) for i in range(len(text))], axis=0, out=sums[1:])
-        own = sums[:, : len(KINDS)]
-        ends = np.argmax(own - np.minimum.accumulate(own, axis=0), axis=0)
         out = {}
-        for i, (kind, end) in enumerate(zip(KINDS, ends)):
-            start = int(np.argmin(own[: end + 1, i]))
-            score, spoken, marks = (float(sums[end, i + k * len(KINDS)] - sums[start, i + k * len(KINDS)]) for k in range(3))
-            out[kind] = (score, start, int(end), spoken, marks)
+        for i, kind in enumerate(KINDS):
+            own, found, waiting = sums[:, i], [], [(0, len(text))]
+            while waiting:
+                low, high = waiting.pop(0)
+                rise = own[low : high + 1] - np.minimum.accumulate(own[low : high + 1])
+                end = low + int(np.argmax(rise))
+                if rise[end - low] < LEAST_ANY:
+                    continue
+                start = low + int(np.argmin(own[low : end + 1]))
+                score, spoken, marks = (float(sums[end, i + k * len(KINDS)] - sums[start, i + k * len(KINDS)]) for k in range(3))
+                found.append((score, start, end, spoken, marks))
+                waiting += [(low, start), (end, high)]
+            out[kind] = found
         return out
 
     def judge(self, text: str | None, template: bool = False) -> tuple[str | None, float, float]:
@@ -277,7 +287,7 @@ class Finder:
         plain = read(text)
         letters = sum(c.isalnum() or c == "\x7f" for c in re.sub(r"(?<![^ ])0+(?![^ ])", "", plain)) or 1
         answer = (None, 0.0, 0.0)
-        for kind, (score, a, b, spoken, marks) in self.windows(plain).items():
+        for kind, (score, a, b, spoken, marks) in ((kind, window) for kind, found in self.windows(plain).items() for window in found):
             if spoken < LEAST_SPOKEN:  # brackets alone are no residue; what stands in them must be
                 continue
             cover = sum(c.isalnum() for c in plain[a:b]) / letters

@@ -130,6 +130,10 @@ def test_real_names_are_not_residue(finder, name):
     assert finder.judge(name)[0] is None
 
 
+def test_a_placeholder_beside_a_bracketed_remark(finder):
+    assert finder.judge("Contract (((semnat))) 2020 {{nume client}}.pdf")[0] == "placeholder" and finder.judge("Contract [semnat] [copie].pdf")[0] is None
+
+
 def test_template_tokens_are_legitimate_in_templates_only(finder):
     assert finder.judge("[An]_[Emitent]_[SubiectAI]", True)[0] is None and finder.judge("[An]_[Emitent]_[SubiectAI]")[0] == "placeholder"
     assert finder.judge("[An]_{{nume}}_[Emitent]", True)[0] == "placeholder"
