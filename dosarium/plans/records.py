@@ -11,7 +11,7 @@ from ..functions import paths, text, validate
 from ..operators import collisions, history, review, scan, stores
 from ..session import table
 from . import scan as scan_plans
-from .catalogue import FILES_SQL, INVENTORY_SQL, _deliveries, _files, _kind_sql
+from .catalogue import INVENTORY_SQL, _deliveries, _files, _kind_sql
 
 ORDER = ["ts", "event_id"]
 
