@@ -185,6 +185,12 @@ def stands_for_udf(words: pd.Series, hints: pd.Series, form: pd.Series, full: pd
     return pd.Series([stands_for(list(w), list(h), f, list(x), g) for w, h, f, x, g in zip(words, hints, form, full, full_form)], dtype="int32")
 
 
+def meet(left: DataFrame, right: DataFrame, on: str | list[str] | F.Column, how: str = "inner") -> DataFrame:
+    """The join by a shuffle, never by a broadcast. Spark takes the size of a table from its compressed files and counts nothing for what
+    ``explode`` adds to a row, so what it holds to be below the threshold for a broadcast may fill the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def suffix_keys(names: DataFrame) -> DataFrame:
     """(kind, id, key, whole): the suffixes of every word as ``key``; ``whole`` tells that it is the word itself."""
     word = names.select("kind", "id", F.explode("words").alias("word"))
@@ -204,17 +210,18 @@ def candidate_pairs(names: DataFrame) -> DataFrame:
     """
     keys = suffix_keys(names)
     sizes = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
-    left = materialise(keys.join(sizes.where(F.col("n") <= COMMON), ["kind", "key"]).select(F.xxhash64("kind", "key").alias("group"), "id").distinct(), "groups")
-    pairs = left.select("group", F.col("id").alias("a")).join(left.select("group", F.col("id").alias("b")), "group").where("a < b").select("a", "b")
+    left = materialise(meet(keys, sizes.where(F.col("n") <= COMMON), ["kind", "key"]).select(F.xxhash64("kind", "key").alias("group"), "id").distinct(), "groups")
+    pairs = meet(left.select("group", F.col("id").alias("a")), left.select("group", F.col("id").alias("b")), "group").where("a < b").select("a", "b")
     # Common suffixes are discarded; the whole word keeps every pair that a shorter suffix would give. Words one slip apart are
     # equal once the right letter is taken from one or both, so such a key is shared by no more names than there are letters to put in its place.
-    large = keys.where("whole").join(sizes.where(F.col("n") > COMMON).select("kind", "key"), ["kind", "key"]).select("id").distinct().join(names.select("id", "kind", "words"), "id")
+    crowded = meet(keys.where("whole"), sizes.where(F.col("n") > COMMON).select("kind", "key"), ["kind", "key"]).select("id").distinct()
+    large = meet(crowded, names.select("id", "kind", "words"), "id")
     value = lambda w: F.pmod(F.xxhash64(w), F.lit(_VALUE))
     total = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + value(w))
     word = large.select("id", "kind", total.alias("total"), F.explode(F.array_distinct("words")).alias("word"))
     less = word.select("id", "kind", (F.col("total") - value(F.col("word"))).alias("rest"), F.explode(_less(F.col("word"))).alias("t"))
     less = materialise(less.select("id", F.xxhash64("kind", "rest", "t").alias("group")).distinct(), "groups")
-    met = less.select("group", F.col("id").alias("a")).join(less.select("group", F.col("id").alias("b")), "group").where("a < b").select("a", "b")
+    met = meet(less.select("group", F.col("id").alias("a")), less.select("group", F.col("id").alias("b")), "group").where("a < b").select("a", "b")
     return pairs.unionByName(met).distinct()
 
 
@@ -224,10 +231,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(nodes.select("id", F.col("id").alias("root")), "labels")
     while True:
-        heard = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("heard"))
-        spread = labels.join(heard, labels["id"] == heard["a"], "left").select("id", "root", F.least("root", F.coalesce("heard", "root")).alias("new"))
+        heard = meet(both, labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("heard"))
+        spread = meet(labels, heard, labels["id"] == heard["a"], "left").select("id", "root", F.least("root", F.coalesce("heard", "root")).alias("new"))
         up = labels.select(F.col("id").alias("new"), F.col("root").alias("up"))
-        nearer = materialise(spread.join(up, "new").select("id", F.least("new", "up").alias("root"), (F.least("new", "up") < F.col("root")).alias("moved")), "labels")
+        nearer = materialise(meet(spread, up, "new").select("id", F.least("new", "up").alias("root"), (F.least("new", "up") < F.col("root")).alias("moved")), "labels")
         labels = nearer.select("id", "root")
         if nearer.where("moved").isEmpty():
             return labels
@@ -249,22 +256,24 @@ def link_spellings(values: DataFrame) -> DataFrame:
 
     pairs = candidate_pairs(full)
     side = full.select("id", "words")
-    both = pairs.join(side.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(side.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    both = meet(pairs, side.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+    both = meet(both, side.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     edges = materialise(both.where(same_full_udf("wa", "wb")).select("a", "b"), "pairs")
     roots = components(full, edges)
 
     # Short forms: names that share a suffix of one of their words, seen through one usual spelling of each name.
-    by_name = full.join(roots, "id").groupBy("kind", "root", "words").agg(F.sum("n").alias("n"), F.max("form").alias("form"))
+    by_name = meet(full, roots, "id").groupBy("kind", "root", "words").agg(F.sum("n").alias("n"), F.max("form").alias("form"))
     stands = F.struct(F.col("n"), F.col("words"), F.col("form"))
     usual = materialise(by_name.groupBy("kind", "root").agg(F.max(stands).alias("u")).select("kind", F.col("root").alias("id"), "u.words", "u.form"), "usual")
     have = _first_keys(usual).select("kind", "key", "initial", F.col("id").alias("root"))
     ask = _asked_keys(short)
-    met = ask.join(have, ["kind", "key", "initial"]).select("id", "root").distinct()
-    with_both = met.join(short.select("id", "words", "hints", "form"), "id").join(usual.select(F.col("id").alias("root"), F.col("words").alias("full"), F.col("form").alias("full_form")), "root")
+    met = meet(ask, have, ["kind", "key", "initial"]).select("id", "root").distinct()
+    with_both = meet(met, short.select("id", "words", "hints", "form"), "id")
+    with_both = meet(with_both, usual.select(F.col("id").alias("root"), F.col("words").alias("full"), F.col("form").alias("full_form")), "root")
     fits = materialise(with_both.withColumn("fit", stands_for_udf("words", "hints", "form", "full", "full_form")).where("fit > 0").select("id", "root", "fit"), "fits")
     best = fits.groupBy("id").agg(F.max("fit").alias("fit"))
-    only = fits.join(best, ["id", "fit"]).groupBy("id").agg(F.count("*").alias("n"), F.min("root").alias("root")).where("n = 1").select("id", "root")
-    return named.select("id", "kind", "value").join(roots.unionByName(only), "id", "left").select("value", "kind", F.coalesce("root", "id").alias("root"))
+    only = meet(fits, best, ["id", "fit"]).groupBy("id").agg(F.count("*").alias("n"), F.min("root").alias("root")).where("n = 1").select("id", "root")
+    return meet(named.select("id", "kind", "value"), roots.unionByName(only), "id", "left").select("value", "kind", F.coalesce("root", "id").alias("root"))
 
 
 def _less(text: F.Column) -> F.Column:
@@ -296,4 +305,4 @@ def all_pairs(groups: DataFrame) -> DataFrame:
     """(value_a, value_b): the pairs of distinct values of each group, value_a < value_b in code point order."""
     left = groups.select("root", F.col("value").alias("value_a"))
     right = groups.select("root", F.col("value").alias("value_b"))
-    return left.join(right, "root").where("value_a < value_b").select("value_a", "value_b").distinct()
+    return meet(left, right, "root").where("value_a < value_b").select("value_a", "value_b").distinct()

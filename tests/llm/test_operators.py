@@ -318,6 +318,21 @@ def test_long_values(spark):
     assert spam.incoherent_pages(odd).count() == 1
 
 
+def test_nothing_is_broadcast_to_link_spellings(spark, monkeypatch):
+    plans, written = [], name_variants.materialise
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(name_variants, "materialise", noted)
+    crowd = [f"{c}{d}tolvar Plimtolescu" for c in "bcdfghjk" for d in "aeioulmn"]
+    values = spark.createDataFrame([("person", v) for v in [*crowd, "Plimtolescu B."]], "kind string, value string")
+    pairs = name_variants.all_pairs(name_variants.link_spellings(values))
+    plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 8 and not any("Broadcast" in p for p in plans)
+
+
 def test_common_subsequence():
     def brute(a, b):
         return max((k for k in range(len(a) + 1) for s in itertools.combinations(a, k) if re.search(".*".join(map(re.escape, s)), b)), default=0)
